@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, lengths, secrets, urls
+from . import bpe, decontam, lengths, neardup, secrets, urls
 
 QUERIES = {
     "op2_url_filter": urls.op2,
+    "op3_near_dedup": neardup.op3,
     "op5_secret_scan": secrets.op5,
     "op6_token_counts": lengths.op6,
     "op7_decontamination": decontam.op7,
@@ -14,4 +15,5 @@ QUERIES = {
 
 SQL = {
     "op2_url_filter": urls.SQL,
+    "op3_near_dedup": neardup.SQL,
 }
