@@ -197,8 +197,9 @@ class Matcher:
 _MATCHERS: dict[tuple, Matcher] = {}
 
 
-def _matcher(key: tuple, items: list[tuple[str, bytes]], window: int) -> Matcher:
+def _matcher(items: list[tuple[str, bytes]], window: int) -> Matcher:
     """A worker builds each block's automaton once and keeps the last one."""
+    key = window, hash(tuple(items))
     if key not in _MATCHERS:
         _MATCHERS.clear()
         _MATCHERS[key] = Matcher(items, window)
@@ -245,17 +246,16 @@ def find_hits(
     common.prepare(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     parts = []
-    for number, block in enumerate(benchmark_blocks(benchmark, item_col, item_text_col, block_words)):
-        parts.append((number, spark.sparkContext.broadcast(block)))
+    for block in benchmark_blocks(benchmark, item_col, item_text_col, block_words):
+        parts.append(spark.sparkContext.broadcast(block))
     if not parts:
-        parts.append((0, spark.sparkContext.broadcast([])))
+        parts.append(spark.sparkContext.broadcast([]))
     fields = f"id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<a:bigint,b:bigint>>"
     outs = []
-    for number, shipped in parts:
+    for shipped in parts:
 
-        def rows(batch: pa.RecordBatch, number=number, shipped=shipped) -> pa.RecordBatch:
-            block = shipped.value
-            m = _matcher((number, len(block), hash(tuple(x for x, _ in block)), window), block, window)
+        def rows(batch: pa.RecordBatch, shipped=shipped) -> pa.RecordBatch:
+            m = _matcher(shipped.value, window)
             n_words, n_hit, items, spans = [], [], [], []
             for text in common.binaries(batch.column(1)):
                 n, hits, found = m.scan(text)
@@ -334,12 +334,11 @@ def decontaminate(
     common.prepare(spark)
     at = docs.columns.index(text_col)
     out = docs
-    for number, block in enumerate(benchmark_blocks(benchmark, item_col, item_text_col, block_words)):
+    for block in benchmark_blocks(benchmark, item_col, item_text_col, block_words):
         shipped = spark.sparkContext.broadcast(block)
 
-        def run(batches, number=number, shipped=shipped):
-            items = shipped.value
-            m = _matcher((number, len(items), hash(tuple(x for x, _ in items)), window), items, window)
+        def run(batches, shipped=shipped):
+            m = _matcher(shipped.value, window)
             for whole in batches:
                 for batch in common.slices(whole):
                     keep, texts = [], []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, lengths, neardup, secrets, urls
+from . import bpe, decontam, lengths, neardup, quality, secrets, urls
 
 QUERIES = {
     "op2_url_filter": urls.op2,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_token_counts": lengths.op6,
     "op7_decontamination": decontam.op7,
     "op8_byte_bpe": bpe.op8,
+    "op9_quality": quality.op9,
 }
 
 SQL = {
