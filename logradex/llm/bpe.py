@@ -27,6 +27,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -173,46 +174,34 @@ def public_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
 
 
-def with_tokens(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text", ids_col: str = "token_ids",
-                decoded_col: str = "decoded") -> DataFrame:
-    """All columns, and the ids of ``text_col`` and the text they decode to."""
+def tokenised(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text") -> DataFrame:
+    """All columns, with ``text_col`` as its tokens decode (null: empty), and the tokens: their number
+    n_tokens, token_ids and ids_sha256 (with underscores before a name that the frame has already)."""
     common.prepare(docs.sparkSession)
     at = docs.columns.index(text_col)
-    schema = common.with_fields(docs.schema, [(ids_col, "array<int>"), (decoded_col, "string")])
+    names = [common.free_name(docs, n) for n in ("n_tokens", "token_ids", "ids_sha256")]
+    schema = common.with_fields(docs.schema, list(zip(names, ("bigint", "array<int>", "string"))))
 
     def run(batches):
         c = codec(path, pattern)
         for whole in batches:
-            for batch in common.slices(whole):
-                ids, back = [], []
-                for text in batch.column(at).to_pylist():
-                    packed = c.encode_bytes(text or "")
-                    ids.append(memoryview(packed).cast("I").tolist())
-                    back.append(c.decode_bytes(packed).decode())
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())],
-                    [*batch.schema.names, ids_col, decoded_col],
+            for batch in common.slices(whole, 4 << 20):
+                packed = [c.encode_bytes(t or "") for t in batch.column(at).to_pylist()]
+                ids = pa.ListArray.from_arrays(
+                    pa.array(list(accumulate((len(p) // 4 for p in packed), initial=0)), pa.int32()),
+                    pa.Array.from_buffers(pa.int32(), sum(map(len, packed)) // 4, [None, pa.py_buffer(b"".join(packed))]),
                 )
-
-    return docs.mapInArrow(run, schema)
-
-
-def roundtrip(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text") -> DataFrame:
-    """All columns with ``text_col`` replaced by what its tokens decode to (null stays null)."""
-    common.prepare(docs.sparkSession)
-    at = docs.columns.index(text_col)
-
-    def run(batches):
-        c = codec(path, pattern)
-        for whole in batches:
-            for batch in common.slices(whole):
-                back = [
-                    None if t is None else c.decode_bytes(c.encode_bytes(t)) for t in batch.column(at).to_pylist()
+                text = pa.array([c.decode_bytes(p) for p in packed], pa.binary()).cast(batch.schema.field(at).type)
+                columns = list(batch.columns)
+                columns[at] = text
+                columns += [
+                    pa.array([len(p) // 4 for p in packed], pa.int64()),
+                    ids,
+                    pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
                 ]
-                field = batch.schema.field(at)
-                yield batch.set_column(at, field, pa.array(back, pa.binary()).cast(field.type))
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

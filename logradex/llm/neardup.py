@@ -326,6 +326,29 @@ def clusters(
     )
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """Broadcast a column of ids if there are few enough."""
+    ids = ids.checkpoint()
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 80):
+    """One document of each component (the one of the smallest id), with all columns; rows that repeat an
+    id leave one."""
+    found = clusters(docs, id_col=id_col, text_col=text_col, words=words, percent=percent)
+    gone, twice = common.free_name(docs, "id_gone"), common.free_name(docs, "id_twice")
+    me = F.col(f"`{id_col}`")
+    found = found.select(F.col(id_col).alias("id"), "component_id").checkpoint()
+    out = docs.join(_few(found.where("id <> component_id").select(F.col("id").alias(gone)).distinct()),
+                    me == F.col(gone), "left_anti")
+    repeats = found.where("id = component_id").groupBy("id").count().where("count > 1").select(F.col("id").alias(twice))
+    repeats = _few(repeats)
+    if repeats.isEmpty():
+        return out
+    again = out.join(repeats, me == F.col(twice), "left_semi").dropDuplicates([id_col])
+    return out.join(repeats, me == F.col(twice), "left_anti").union(again)
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     out = clusters(common.table(spark, sf_dir, "documents"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

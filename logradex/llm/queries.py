@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, lengths, neardup, quality, secrets, urls
+from . import bpe, decontam, lengths, neardup, pii, quality, secrets, urls
 
 QUERIES = {
     "op2_url_filter": urls.op2,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_decontamination": decontam.op7,
     "op8_byte_bpe": bpe.op8,
     "op9_quality": quality.op9,
+    "op10_pii": pii.op10,
 }
 
 SQL = {
