@@ -1,12 +1,70 @@
-"""From raw documents to training text in five stages (see STAGES)."""
+"""From raw documents to training text in five stages.
+
+Each stage takes what its predecessor kept, and its decisions take effect:
+
+1. quality: documents that the classifier rejects (form or civility) go;
+2. near_dedup: one document of each group of near copies stays;
+3. decontamination: spans shared with benchmark items are cut out of the text, and a
+   document of which they are more than half goes;
+4. pii: personal data are replaced by surrogates;
+5. byte_bpe: texts are encoded, and decoded again into ``text``.
+
+Stages 1 to 4 return the columns of documents (``n_chars`` follows the text); the last
+adds ``n_tokens``, ``token_ids`` and the digest of the ids.  No stage can be expressed in
+SQL as a whole, so ``ORACLE_SQL`` is None and the tests use brute force instead.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logradex.llm import bpe, common, decontam, neardup, pii, quality
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """With ``n_chars`` brought up to date."""
+    n = F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    return docs.withColumn("n_chars", n)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, common.table(spark, sf_dir, "labels"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_one(docs, words=5)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _sized(decontam.decontaminate(docs, common.table(spark, sf_dir, "benchmark")))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _sized(pii.with_surrogates(docs))
+
+
+def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.tokenised(docs, *bpe.public_vocabulary())
+
 
-STAGES: list = []
+STAGES = [
+    ("quality", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("pii", pii_stage),
+    ("byte_bpe", byte_bpe_stage),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents, each written to the shared folder and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
