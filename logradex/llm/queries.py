@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, lengths, neardup, pii, quality, secrets, urls
+from . import bpe, decontam, html, lengths, neardup, pii, quality, secrets, urls
 
 QUERIES = {
+    "op1_html_extraction": html.op1,
     "op2_url_filter": urls.op2,
     "op3_near_dedup": neardup.op3,
     "op5_secret_scan": secrets.op5,
