@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, html, lengths, neardup, pii, quality, secrets, urls
+from . import bpe, decontam, html, lengths, neardup, pii, quality, secrets, syncmers, urls
 
 QUERIES = {
     "op1_html_extraction": html.op1,
     "op2_url_filter": urls.op2,
     "op3_near_dedup": neardup.op3,
+    "op4_syncmers": syncmers.op4,
     "op5_secret_scan": secrets.op5,
     "op6_token_counts": lengths.op6,
     "op7_decontamination": decontam.op7,
