@@ -6,9 +6,10 @@ candidate rows of one layout (``CANDIDATE``), which can be united.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fields import ROLES
@@ -19,6 +20,7 @@ FOUND = {
     "logradouro": "logradouro_encontrado", "numero": "numero_encontrado", "cep": "cep_encontrado",
     "localidade": "localidade_encontrada", "municipio": "municipio_encontrado", "estado": "estado_encontrado",
 }
+BLOCK = ("estado", "municipio", "cep", "localidade")
 CANDIDATE = [
     "tempid", "ordem", "tipo_resultado", "lat", "lon", "endereco_encontrado", "desvio_metros", "log_causa_confusao",
     *FOUND.values(), "similaridade_logradouro", "contagem_cnefe", "cod_setor",
@@ -125,20 +127,40 @@ def street_dictionary(table: DataFrame, step: MatchStep) -> DataFrame:
     return table.select(*step.block_keys, "logradouro").where("logradouro is not null").distinct()
 
 
-def street_matches(x: DataFrame, table: DataFrame, step: MatchStep) -> DataFrame:
-    """(tempid, street, similarity): for each input the most similar street above the step's cutoff.
+def street_matches(x: DataFrame, tables: Callable[[str], DataFrame], attempts: Iterable[MatchStep]) -> DataFrame:
+    """(tempid, street, similarity, since): for each input and comparison of streets the most similar
+    street above the cutoff, and the order of the first step that makes the comparison.
 
-    Inputs with an ambiguous street, or without one of the step's keys, aren't compared.
-    Only distinct pairs of streets whose lengths allow the cutoff are compared.
+    Inputs with an ambiguous street, or without one of a step's keys, aren't compared.  Steps
+    that share blocking keys, dictionary and cutoff share one comparison; all comparisons run
+    as one plan, over distinct pairs of streets whose lengths allow the cutoff.
     """
-    block = list(step.block_keys)
-    asked = have_keys(x, step).where(~F.col("log_causa_confusao"))
-    streets = street_dictionary(table, step).withColumnRenamed("logradouro", "street")
-    pairs = asked.select(*block, "logradouro").distinct().join(streets, block)
-    pairs = pairs.where(reachable(F.col("logradouro"), F.col("street"), step.cutoff))
-    names = pairs.select("logradouro", "street").distinct()
+    kinds: dict[tuple, list[MatchStep]] = {}
+    for step in attempts:
+        kinds.setdefault((step.block_keys, step.dictionary, step.cutoff), []).append(step)
+    asked, pairs = [], []
+    for number, ((block, name, cutoff), steps) in enumerate(kinds.items()):
+        since = F.lit(None).cast("int")
+        for step in sorted(steps, key=lambda s: -s.order):
+            test = reduce(Column.__and__, [F.col(k).isNotNull() for k in step.keys])
+            since = F.when(test, F.lit(step.order)).otherwise(since)
+        parts = [(F.col(k) if k in block else F.lit(None).cast("string")).alias(k) for k in BLOCK]
+        rows = x.where(~F.col("log_causa_confusao")).withColumn("since", since).where("since is not null")
+        rows = rows.select("tempid", "since", F.lit(number).alias("kind"), *parts, "logradouro")
+        streets = street_dictionary(tables(name), steps[0]).withColumnRenamed("logradouro", "street")
+        both = rows.select("kind", *block, "logradouro").distinct().join(streets, list(block))
+        both = both.where(reachable(F.col("logradouro"), F.col("street"), cutoff))
+        asked.append(rows)
+        pairs.append(both.select("kind", F.lit(cutoff).alias("cutoff"), *parts, "logradouro", "street"))
+    every, wanted = reduce(DataFrame.unionByName, pairs), reduce(DataFrame.unionByName, asked)
+    names = every.groupBy("logradouro", "street").agg(F.min("cutoff").alias("least"))
     names = names.withColumn("similarity", jaro_similarity(F.col("logradouro"), F.col("street")).cast("decimal(5,3)"))
-    names = names.where(F.col("similarity") > F.lit(str(step.cutoff)).cast("decimal(5,3)"))
-    best = Window.partitionBy(*block, "logradouro").orderBy(F.desc("similarity"), "street")
-    top = pairs.join(names, ["logradouro", "street"]).withColumn("k", F.row_number().over(best)).where("k = 1")
-    return asked.join(top.drop("k"), [*block, "logradouro"]).select("tempid", "street", "similarity")
+    names = names.where(F.col("similarity") > F.col("least").cast("decimal(5,3)")).drop("least")
+    key = ["kind", *BLOCK, "logradouro"]
+    found = every.join(names, ["logradouro", "street"]).where(F.col("similarity") > F.col("cutoff").cast("decimal(5,3)"))
+    top = found.groupBy(*key).agg(F.min(F.struct((-F.col("similarity")).alias("s"), "street")).alias("best"))
+    top = top.select(*[F.col(k).alias(f"t_{k}") for k in key], "best")
+    on = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"t_{k}")) for k in key])
+    return wanted.join(top, on).select(
+        "tempid", F.col("best.street").alias("street"), (-F.col("best.s")).cast("decimal(5,3)").alias("similarity"), "since"
+    )

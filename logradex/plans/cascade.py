@@ -20,9 +20,7 @@ Tables = Callable[[str], DataFrame]
 #: Steps that are evaluated together; what they settle leaves before the next group.
 STAGES = (
     ("dn01", "da01"),
-    ("pn01", "pa01", "dn02", "da02"),
-    ("pn02", "pa02", "dn03", "da03"),
-    ("pn03", "pa03", "dn04", "da04"),
+    ("pn01", "pa01", "dn02", "da02", "pn02", "pa02", "dn03", "da03", "pn03", "pa03", "dn04", "da04"),
     ("dl01", "pl01", "dl02", "pl02", "dl03", "pl03", "dl04"),
     ("dc01", "dc02", "db01", "dm01"),
 )
@@ -51,11 +49,8 @@ def attach_streets(x: DataFrame, tables: Tables, attempts: Iterable[MatchStep])
 
     Adds temp_lograd_determ, similaridade_logradouro and ``_since``, the order of that step.
     """
-    found = []
-    for step in attempts:
-        hits = street_matches(x, tables(step.dictionary), step)
-        found.append(hits.withColumn("_since", F.lit(step.order)))
-    if not found:
+    attempts = list(attempts)
+    if not attempts:
         return x.withColumns(
             {
                 "temp_lograd_determ": F.lit(None).cast("string"),
@@ -63,12 +58,13 @@ def attach_streets(x: DataFrame, tables: Tables, attempts: Iterable[MatchStep])
                 "_since": F.lit(None).cast("int"),
             }
         )
-    best = _union(found).groupBy("tempid").agg(F.min_by(F.struct("street", "similarity", "_since"), "_since").alias("b"))
+    found = street_matches(x, tables, attempts)
+    best = found.groupBy("tempid").agg(F.min_by(F.struct("street", "similarity", "since"), "since").alias("b"))
     best = best.select(
         "tempid",
         F.col("b.street").alias("temp_lograd_determ"),
         F.col("b.similarity").alias("similaridade_logradouro"),
-        F.col("b._since").alias("_since"),
+        F.col("b.since").alias("_since"),
     )
     return x.join(best, "tempid", "left")
 
@@ -93,20 +89,17 @@ def staged(x: DataFrame, tables: Tables, steps: Iterable[MatchStep] = STEPS) ->
     """
     steps = applicable(x, steps)
     codes = {s.code: s for s in steps}
-    left = attach_streets(x, tables, [])
+    attempts = [s for s in ATTEMPTS if s in steps]
+    groups = [now for group in STAGES if (now := [codes[c] for c in group if c in codes])]
+    left, compared = attach_streets(x, tables, []), False
     out = []
-    for number, group in enumerate(STAGES):
-        now = [codes[c] for c in group if c in codes]
-        if not now:
-            continue
-        attempts = [s for s in ATTEMPTS if s in now]
-        if attempts:  # streets found in an earlier group stay
-            had = left.where("_since is not null")
-            none = left.where("_since is null").drop("temp_lograd_determ", "similaridade_logradouro", "_since")
-            left = had.unionByName(attach_streets(none, tables, attempts)).checkpoint()
+    for number, now in enumerate(groups):
+        if not compared and any(s.fuzzy for s in now):  # what a comparison finds stays, so all run here
+            left = attach_streets(x.join(left.select("tempid"), "tempid", "left_semi"), tables, attempts).checkpoint()
+            compared = True
         result = first_step(_union([_candidates(left, tables, s) for s in now])).checkpoint()
         out.append(result)
-        if number < len(STAGES) - 1:
+        if number < len(groups) - 1:
             left = left.join(result.select("tempid").distinct(), "tempid", "left_anti").checkpoint()
             if left.isEmpty():
                 break

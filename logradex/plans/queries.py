@@ -157,7 +157,7 @@ for _s in STEPS:
 )
 def fuzzy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, x = fixture.gazetteer(spark, sf_dir), fixture.inputs(spark, sf_dir)
-    found = street_matches(x, g(CL), STEP["pn01"])
+    found = street_matches(x, g, [STEP["pn01"]])
     return found.select("tempid", "street", F.col("similarity").cast("double").alias("similarity"))
 
 
@@ -387,15 +387,19 @@ def dense_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 # semi and anti joins
 
 
+_PLACES = (
+    "SELECT DISTINCT r_name AS estado, n_name AS municipio FROM customer JOIN nation ON c_nationkey = n_nationkey "
+    "JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 9950"
+)
+
+
 @query(
     "scope_semi_join",
-    _with({"cl"}) + "SELECT estado, municipio, logradouro, cep, localidade, n_casos FROM cl "
-    "WHERE estado || '/' || municipio IN (SELECT estado || '/' || municipio FROM x WHERE tempid % 97 = 0)",
+    f"SELECT estado, municipio, logradouro, numero, cep, localidade, n_casos FROM ({fixture.FINEST}) JOIN ({_PLACES}) USING (estado, municipio)",
 )
 def scope_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = fixture.inputs(spark, sf_dir).where("tempid % 97 = 0").select("estado", "municipio").distinct()
-    t = scope(fixture.gazetteer(spark, sf_dir)(CL), places)
-    return t.select("estado", "municipio", "logradouro", "cep", "localidade", "n_casos")
+    t = scope(fixture.finest(spark, sf_dir), spark.sql(_PLACES))
+    return t.select("estado", "municipio", "logradouro", "numero", "cep", "localidade", "n_casos")
 
 
 @query(
