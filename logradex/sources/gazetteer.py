@@ -110,7 +110,8 @@ def coarser(table: DataFrame, name: str) -> DataFrame:
 def trimmed(points: DataFrame, keys: list[str], share: float = 0.95) -> DataFrame:
     """Representative point of each group of records (lat, lon, cod_setor).
 
-    Mean point, distance of each record to it, records beyond the given percentile of distance
+    Mean point, distance of each record to it, records beyond the given percentile of distance (by more than a
+    micrometre, so that rounding decides nothing)
     left out, mean of the rest; ``desvio_metros`` is that percentile.
     """
     w = Window.partitionBy(*keys)
@@ -118,7 +119,7 @@ def trimmed(points: DataFrame, keys: list[str], share: float = 0.95) -> DataFram
     d = d.withColumn("dist", haversine(F.col("lat"), F.col("lon"), F.col("_la"), F.col("_lo"))).drop("_la", "_lo")
     cut = d.groupBy(*keys).agg(F.percentile("dist", share).alias("_cut"))
     same = [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
-    kept = d.alias("d").join(cut.alias("c"), same).where("dist <= _cut").select("d.*", "_cut")
+    kept = d.alias("d").join(cut.alias("c"), same).where("dist <= _cut + 1e-6").select("d.*", "_cut")
     tract = F.when((F.min("cod_setor") == F.max("cod_setor")) & (F.count("cod_setor") == F.count("*")), F.min("cod_setor"))
     return kept.groupBy(*keys).agg(
         F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.bround(F.first("_cut")).cast("int").alias("desvio_metros"),
