@@ -152,7 +152,7 @@ def _range_of(docs: DataFrame, id_col: str) -> Column:
         step = F.floor((v.cast("double") - low) * per / (high - low))
         return s.cast("bigint") * per + F.greatest(F.lit(0), F.least(F.lit(per - 1), step))
 
-    return F.coalesce(_bound(seg, inside), F.lit(-1).cast("bigint"))
+    return F.when(v.isNull(), F.lit(-1).cast("bigint")).otherwise(_bound(seg, inside))
 
 
 def with_next(docs: DataFrame, id_col: str, keep: list[str], carry: Callable[[DataFrame], DataFrame]) -> DataFrame:
