@@ -7,7 +7,7 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 
-ROLES = ("logradouro", "numero", "cep", "localidade", "municipio", "estado")
+ROLES = tuple("logradouro numero cep localidade municipio estado".split())
 
 
 @dataclass(frozen=True)

@@ -11,7 +11,7 @@ from ..functions.geo import BRAZIL, EARTH_RADIUS, grid, haversine, utm
 from ..functions.text import cep as standard_cep
 
 IN_LIST = 1000
-CEP_COLUMNS = ["cep", "estado", "municipio", "logradouro", "localidade", "lon", "lat"]
+CEP_COLUMNS = "cep estado municipio logradouro localidade lon lat".split()
 
 
 def by_cep(table: DataFrame, codes: Iterable[str] | DataFrame) -> DataFrame:

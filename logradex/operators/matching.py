@@ -16,11 +16,8 @@ from ..fields import ROLES
 from ..functions.similarity import jaro_similarity, reachable
 from ..plans.steps import MatchStep
 
-FOUND = {
-    "logradouro": "logradouro_encontrado", "numero": "numero_encontrado", "cep": "cep_encontrado",
-    "localidade": "localidade_encontrada", "municipio": "municipio_encontrado", "estado": "estado_encontrado",
-}
-BLOCK = ("estado", "municipio", "cep", "localidade")
+FOUND = {r: r + ("_encontrada" if r == "localidade" else "_encontrado") for r in ROLES}
+BLOCK = tuple("estado municipio cep localidade".split())
 CANDIDATE = [
     "tempid", "ordem", "tipo_resultado", "lat", "lon", "endereco_encontrado", "desvio_metros", "log_causa_confusao",
     *FOUND.values(), "similaridade_logradouro", "contagem_cnefe", "cod_setor",

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..plans.steps import PRECISION
 from .matching import FOUND
 
-NARROW = ["lat", "lon", "precisao", "tipo_resultado", "desvio_metros", "endereco_encontrado"]
-COMPLETE = [*FOUND.values(), "similaridade_logradouro", "contagem_cnefe", "empate", "cod_setor"]
+NARROW = "lat lon precisao tipo_resultado desvio_metros endereco_encontrado".split()
+COMPLETE = [*FOUND.values(), *"similaridade_logradouro contagem_cnefe empate cod_setor".split()]
 
 
 def precision(code: Column) -> Column:

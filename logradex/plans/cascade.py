@@ -18,11 +18,14 @@ from .steps import ATTEMPTS, STEPS, MatchStep
 Tables = Callable[[str], DataFrame]
 
 #: Steps that are evaluated together; what they settle leaves before the next group.
-STAGES = (
-    ("dn01", "da01"),
-    ("pn01", "pa01", "dn02", "da02", "pn02", "pa02", "dn03", "da03", "pn03", "pa03", "dn04", "da04"),
-    ("dl01", "pl01", "dl02", "pl02", "dl03", "pl03", "dl04"),
-    ("dc01", "dc02", "db01", "dm01"),
+STAGES = tuple(
+    tuple(line.split())
+    for line in (
+        "dn01 da01",
+        "pn01 pa01 dn02 da02 pn02 pa02 dn03 da03 pn03 pa03 dn04 da04",
+        "dl01 pl01 dl02 pl02 dl03 pl03 dl04",
+        "dc01 dc02 db01 dm01",
+    )
 )
 
 

@@ -373,7 +373,7 @@ def merge_to_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def complete_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = results.complete_similarity(ties.resolve(_tied(spark, sf_dir)))
-    return r.select("tempid", "logradouro_encontrado", "contagem_cnefe", "similaridade_logradouro", "empate")
+    return r.select("tempid logradouro_encontrado contagem_cnefe similaridade_logradouro empate".split())
 
 
 @query("dense_row_ids", "SELECT count(*) AS n, min(k) AS lo, max(k) AS hi, count(DISTINCT k) AS d FROM (SELECT row_number() OVER () AS k FROM orders)")
@@ -399,7 +399,7 @@ _PLACES = (
 )
 def scope_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = scope(fixture.finest(spark, sf_dir), spark.sql(_PLACES))
-    return t.select("estado", "municipio", "logradouro", "numero", "cep", "localidade", "n_casos")
+    return t.select("estado municipio logradouro numero cep localidade n_casos".split())
 
 
 @query(
@@ -502,7 +502,8 @@ def point_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def gazetteer_coarser(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = fixture.gazetteer(spark, sf_dir)(CL)
-    return _rounded(t, ["estado", "municipio", "logradouro", "cep", "localidade", "lat", "lon", "desvio_metros", "n_casos", "cod_setor", "endereco_completo"])
+    columns = "estado municipio logradouro cep localidade lat lon desvio_metros n_casos cod_setor endereco_completo"
+    return _rounded(t, columns.split())
 
 
 _RECORDS = """SELECT r_name AS estado, n_name AS municipio, upper(p_name) AS logradouro,
@@ -541,7 +542,7 @@ def standardise_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)"
     )
     fields = {"logradouro": "rua", "numero": "num", "cep": "postal", "municipio": "cidade", "estado": "uf"}
-    return prepared(raw, fields).select("tempid", "logradouro", "numero", "cep", "municipio", "estado")
+    return prepared(raw, fields).select("tempid logradouro numero cep municipio estado".split())
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-KEYS = {
-    "n01": ("logradouro", "numero", "cep", "localidade"),
-    "n02": ("logradouro", "numero", "cep"),
-    "n03": ("logradouro", "numero", "localidade"),
-    "n04": ("logradouro", "numero"),
-    "l01": ("logradouro", "cep", "localidade"),
-    "l02": ("logradouro", "cep"),
-    "l03": ("logradouro", "localidade"),
-    "l04": ("logradouro",),
-    "c01": ("cep", "localidade"),
-    "c02": ("cep",),
-    "b01": ("localidade",),
-    "m01": (),
-}
+_KEYS = """
+n01 logradouro numero cep localidade
+n02 logradouro numero cep
+n03 logradouro numero localidade
+n04 logradouro numero
+l01 logradouro cep localidade
+l02 logradouro cep
+l03 logradouro localidade
+l04 logradouro
+c01 cep localidade
+c02 cep
+b01 localidade
+m01
+"""
+KEYS = {words[0]: tuple(words[1:]) for line in _KEYS.split("\n") if (words := line.split())}
 NCL = "municipio_logradouro_numero_cep_localidade"
 NL = "municipio_logradouro_numero_localidade"
 CL = "municipio_logradouro_cep_localidade"
