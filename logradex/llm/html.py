@@ -73,6 +73,7 @@ _DROP_WORDS = frozenset(
     pagination pager toc skip skiplink hidden toolbar disclaimer paywall teaser outbrain taboola""".split()
 )
 _SPLIT = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
+_WITH = re.compile(r"(?:has|with|without|no|not|is)[-_A-Z]")  # has-sidebar tells of something else
 _DIGITS = re.compile(r"\d+")
 _IMPLIED = {  # an opening tag closes what is open of these, up to the nearest of those
     "li": (("li",), ("ul", "ol", "menu", "dir")),
@@ -127,15 +128,24 @@ def _is_dropped(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
         return True
     if attrs.get("role", "").lower() in _DROP_ROLES:
         return True
-    names = [x for k in ("class", "id") for x in attrs.get(k, "").split()]
+    names = [x for k in ("class", "id") for x in attrs.get(k, "").split() if not _WITH.match(x)]
     if tag in ("html", "body", "main"):
         return False
     if tag == "article":  # classes of an article tell what it has, unless it is a comment
         return any(_words(x) & {"comment", "comments", "reply", "ad", "advert", "sponsored"} for x in names)
-    return any(_words(x) & _DROP_WORDS for x in names)
+    # inside an article, a header is its own
+    return any(_words(x) & (_DROP_WORDS - {"header"} if inside_article else _DROP_WORDS) for x in names)
 
 
 def parse(source: str) -> Page:
+    """Blocks and containers; a page that is all in one form is read as if it weren't."""
+    page = _parse(source, True)
+    if not page.blocks and any(n.tag == "form" for n in page.nodes):
+        return _parse(source, False)
+    return page
+
+
+def _parse(source: str, drop_forms: bool) -> Page:
     page = Page()
     nodes = page.nodes
     nodes.append(Node("", "", -1, False, False))
@@ -210,7 +220,7 @@ def parse(source: str) -> Page:
             _close_implied(nodes, stack, tag)
         attrs = _attributes(m["attrs"]) if m["attrs"] else {}
         if not m["attrs"].endswith("/") or tag in _BLOCK:
-            stack.append(_open(nodes, stack, tag, attrs, None))
+            stack.append(_open(nodes, stack, tag, attrs, None if drop_forms or tag != "form" else False))
     add(source[at:])
     flush()
     return page
