@@ -33,6 +33,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,18 +41,21 @@ from . import common
 from .urls import split_url
 
 MIN_SHARE = 0.1
+MAX_PATH = 400
 MAX_BROADCAST_PATHS = 100_000
 
+# no alternative of a repetition can match what another does, and repetitions are possessive: no text backtracks
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|textarea|title|noscript|iframe|noembed|noframes|xmp|svg|math|template|object|select|canvas|audio|video)"
-    r"(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</(?P=raw)\s*>|.*\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*?)>"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"|</?[a-zA-Z](?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*\Z",
+    r"(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?>[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+)>"
+    r"|<[!?][^>]*+(?:>|\Z)"
+    r"|</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+\Z",
     re.DOTALL | re.IGNORECASE,
 )
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?(?=[\s/]|$)""", re.IGNORECASE)
+_ATTR = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
+_READ = frozenset("class id role hidden aria-hidden style".split())
 
 _BLOCK = frozenset(
     """address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer
@@ -113,7 +117,9 @@ def _words(value: str) -> set[str]:
 def _attributes(attrs: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for m in _ATTR.finditer(attrs):
-        out.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
+        name = m[1].lower()
+        if name in _READ:
+            out.setdefault(name, entities.unescape(m[2] or m[3] or m[4] or ""))
     return out
 
 
@@ -254,9 +260,10 @@ def _open(nodes: list[Node], stack: list[int], tag: str, attrs: dict[str, str],
     if parent.tag == "header" and inside and not gone:  # of an article's own header, the headings stay
         gone = tag not in ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "div")
     classes = "".join("." + _DIGITS.sub("#", c) for c in sorted(attrs.get("class", "").split()))
-    nodes.append(
-        Node(tag, f"{parent.path}>{tag}{classes}", stack[-1], gone, inside or tag in ("article", "main"))
-    )
+    path = f"{parent.path}>{tag}{classes}"
+    if len(path) > MAX_PATH:  # very deep or many classes: a digest stands for it
+        path = "#" + xxhash.xxh3_128_hexdigest(path)
+    nodes.append(Node(tag, path, stack[-1], gone, inside or tag in ("article", "main")))
     return len(nodes) - 1
 
 
@@ -264,12 +271,10 @@ def _weight(page: Page) -> list[tuple[float, int]]:
     """Score of each container: the text in it that is not in links; deeper ones win if they hold nearly all."""
     score = [0.0] * len(page.nodes)
     for text, node, linked in page.blocks:
-        worth = len(text) * (1 - linked)
-        if linked > 0.5:
-            continue
-        while node >= 0:
-            score[node] += worth
-            node = page.nodes[node].parent
+        if linked <= 0.5:
+            score[node] += len(text) * (1 - linked)
+    for i in range(len(score) - 1, 0, -1):  # a container comes after the one it is in
+        score[page.nodes[i].parent] += score[i]
     return [(s, i) for i, s in enumerate(score)]
 
 

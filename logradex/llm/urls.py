@@ -74,7 +74,8 @@ class Index:
         offsets[1:] = np.cumsum([len(t) for t in texts]) if texts else []
         # lengths at which hosts and paths of the rules end, to limit the probes
         lengths = sorted({len(t.decode().partition("/")[2]) + 1 if b"/" in t else 0 for t in texts})
-        tail = np.array(lengths, "<u4")
+        labels = max((t.decode().partition("/")[0].count(".") + 1 for t in texts), default=0)
+        tail = np.array([labels, *lengths], "<u4")
         return b"".join(
             [Index.HEAD.pack(b"urlrules", len(texts), len(tail)), keys[order].tobytes(), offsets.tobytes(),
              tail.tobytes(), blocked.tobytes(), b"".join(texts)]
@@ -89,7 +90,7 @@ class Index:
         at += 8 * n
         self.offsets = np.frombuffer(self.map, "<u8", n + 1, at)
         at += 8 * (n + 1)
-        self.path_lengths = np.frombuffer(self.map, "<u4", m, at).tolist()
+        self.labels, *self.path_lengths = np.frombuffer(self.map, "<u4", m, at).tolist()
         at += 4 * m
         self.blocked = np.frombuffer(self.map, np.uint8, n, at)
         self.text_at = at + n
@@ -160,13 +161,16 @@ def compile_rules(spark: SparkSession, rules: Iterable[tuple[str, str]] | DataFr
     return names
 
 
-def candidates(host: str, path: str, path_lengths: list[int]) -> list[str]:
-    """Every rule string that would fit, at the path lengths given (0: a rule without a slash)."""
+def candidates(host: str, path: str, path_lengths: list[int], labels: int) -> list[str]:
+    """Every rule string that could fit, at the path lengths given (0: a rule without a slash) and up to so
+    many labels of the host."""
     if not host:
         return []
-    labels = host.split(".")
+    last = host.rsplit(".", labels)
+    # the first part holds what is before the labels, or is the first label of a short host
+    suffixes = [".".join(last[i:]) for i in range(1 if len(last) > labels else 0, len(last))]
     tails = [path[:n] for n in path_lengths if n <= len(path)]
-    return [h + t for i in range(len(labels)) for h in (".".join(labels[i:]),) for t in tails]
+    return [h + t for h in suffixes for t in tails]
 
 
 def judge(urls: DataFrame, rules, *, id_col: str = "page_id", url_col: str = "url",
@@ -184,7 +188,7 @@ def judge(urls: DataFrame, rules, *, id_col: str = "page_id", url_col: str = "ur
             index = _index(name)
             owner, texts = [], []
             for i, (host, path) in enumerate(parts):
-                for c in candidates(host, path, index.path_lengths):
+                for c in candidates(host, path, index.path_lengths, index.labels):
                     owner.append(i)
                     texts.append(c.encode())
             keys = np.fromiter(map(xxhash.xxh64_intdigest, texts), np.uint64, len(texts))

@@ -419,6 +419,16 @@ def test_surrogates(spark):
     assert other != out[1].text
 
 
+def test_long_runs(spark):
+    rows = [(1, "a@" + "b." * 30000), (2, "z" * 50000 + "@"), (3, "1" * 50000), (4, "+1 " * 20000), (5, "Maria " * 9000), (6, "y" * 50000)]
+    df = frame(spark, rows)
+    out = {r.doc_id: r.text for r in pii.with_surrogates(df).collect()}
+    assert all(len(out[i]) == len(t) for i, t in rows if i != 5) and len(out) == 6
+    fp = df.select(syncmers.as_text(syncmers.fingerprint(F.col("text"))).alias("s")).collect()
+    assert all(r.s for r in fp)
+    assert all(secrets.find(t)[0] == [] for i, t in rows if i != 3)
+
+
 def test_surrogates_stay_distinct(spark):
     rows = [(i, f"{i:010d}@h{i % 3}.example.com +1 ({200 + i % 700}) 555-{i:04d} 10.0.{i // 256}.{i % 256}") for i in range(1500)]
     rows += [(9000 + i, f"a{c}@b.co") for i, c in enumerate("abcdefghij0123456789")]
