@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import common
 
 DIMENSIONS = 1 << 18
-SAMPLE_DOCS = 3000
+SAMPLE_DOCS = 1500
 LABELLED_DOCS = 5000
 MIN_DOCS = 4
 SCREEN = 5.0  # standard deviations
@@ -278,23 +278,36 @@ def features(text: str) -> tuple[dict[int, float], set[int]]:
     return form, civil
 
 
-def fit_scorer(rows: list[tuple[list[int], list[float], float]], decay: float, screen: float = 0.0, rounds: int = ROUNDS):
-    """Weights and bias of a logistic scorer, by full-batch Adam on (slots, values, soft label)."""
-    if not rows:
+def _sums(slot: np.ndarray, weight: np.ndarray | None) -> np.ndarray:
+    """Sums of weights (None: counts) by slot, some at a time."""
+    out = np.zeros(DIMENSIONS)
+    for at in range(0, len(slot), 1 << 19):
+        part = slice(at, at + (1 << 19))
+        out += np.bincount(slot[part], None if weight is None else weight[part], DIMENSIONS)
+    return out
+
+
+def fit_scorer(
+    size: np.ndarray, slot: np.ndarray, val: np.ndarray | None, y: np.ndarray, decay: float, screen: float = 0.0,
+    rounds: int = ROUNDS,
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights and bias of a logistic scorer, by full-batch Adam on soft labels.
+
+    Documents have ``size`` slots each, one after the other in ``slot``, with values (None: one).
+    """
+    if not len(y):
         return np.zeros(0, np.int64), np.zeros(0), 1.0
-    size = np.array([len(r[0]) for r in rows])
-    row = np.repeat(np.arange(len(rows)), size)
-    slot = np.concatenate([np.asarray(r[0], np.int64) for r in rows])
-    val = np.concatenate([np.asarray(r[1], float) for r in rows])
-    y = np.array([r[2] for r in rows])
+    row = np.repeat(np.arange(len(y), dtype=np.int32), size)
     # slots in few documents tell nothing about new text; nor, if asked for, do slots spread over both classes
-    n = np.bincount(slot, minlength=DIMENSIONS).astype(float)
+    n = _sums(slot, None)
     telling = n >= MIN_DOCS
     if screen:
-        bad, rate = np.bincount(slot, 1 - y[row], DIMENSIONS), float(np.clip(1 - y.mean(), 1e-6, 1 - 1e-6))
+        rate = float(np.clip(1 - y.mean(), 1e-6, 1 - 1e-6))
+        bad = _sums(slot, (1 - y).astype(np.float32)[row])
         telling &= np.abs(bad - n * rate) >= screen * np.sqrt(np.maximum(n, 1) * rate * (1 - rate))
-    often = telling[slot]
-    row, val = row[often], val[often]
+    often = np.flatnonzero(telling[slot])
+    row = row[often]
+    val = np.ones(len(often)) if val is None else val[often]
     used, col = np.unique(slot[often], return_inverse=True)
     w, bias = np.zeros(len(used)), 0.0
     m1, m2, b1, b2 = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
@@ -419,16 +432,20 @@ def fit(
                 yield pa.RecordBatch.from_pydict(
                     out,
                     schema=pa.schema(
-                        [("key", pa.string()), ("fs", pa.list_(pa.int32())), ("fv", pa.list_(pa.float64())),
+                        [("key", pa.string()), ("fs", pa.list_(pa.int32())), ("fv", pa.list_(pa.float32())),
                          ("cs", pa.list_(pa.int32())), ("form", pa.float64()), ("civil", pa.float64())]
                     ),
                 )
 
     rows = chosen.select("id", "text", "form", "civility").mapInArrow(
-        run, "key string, fs array<int>, fv array<double>, cs array<int>, form double, civil double"
-    ).toArrow().sort_by("key").to_pydict()
-    form = fit_scorer(list(zip(rows["fs"], rows["fv"], rows["form"])), 1e-5)
-    civil = fit_scorer([(s, [1.0] * len(s), y) for s, y in zip(rows["cs"], rows["civil"])], 1e-5, SCREEN)
+        run, "key string, fs array<int>, fv array<float>, cs array<int>, form double, civil double"
+    ).toArrow().combine_chunks().sort_by("key")
+    lists = {c: rows.column(c).combine_chunks() for c in ("fs", "fv", "cs")}
+    size = {c: np.diff(x.offsets.to_numpy()) for c, x in lists.items()}
+    flat = {c: x.flatten().to_numpy() for c, x in lists.items()}
+    y = {c: rows.column(c).to_numpy() for c in ("form", "civil")}
+    form = fit_scorer(size["fs"], flat["fs"], flat["fv"], y["form"], 1e-5)
+    civil = fit_scorer(size["cs"], flat["cs"], None, y["civil"], 1e-5, SCREEN)
     return Classifier(weak, form, civil)
 
 
