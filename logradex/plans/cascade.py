@@ -22,7 +22,9 @@ STAGES = tuple(
     tuple(line.split())
     for line in (
         "dn01 da01",
-        "pn01 pa01 dn02 da02 pn02 pa02 dn03 da03 pn03 pa03 dn04 da04",
+        "pn01 pa01 dn02 da02 pn02 pa02",
+        "dn03 da03 pn03 pa03",
+        "dn04 da04",
         "dl01 pl01 dl02 pl02 dl03 pl03 dl04",
         "dc01 dc02 db01 dm01",
     )
