@@ -40,7 +40,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 LEAF_CHARS = 4096
 PIECE_LEAF_BYTES = 512
 SEAM_CHARS = 48
-KNOWN_PAIRS = 400_000
+KNOWN_PAIRS = 100_000
 
 _BREAK = regex.compile(r"[!-~\p{L}\p{N}](?=[ \n])")
 

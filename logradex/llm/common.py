@@ -75,7 +75,7 @@ def map_batches(
     return df.select(*[F.col(f"`{c}`") for c in cols]).mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``limit`` bytes, whole rows always."""
     n = batch.num_rows
     if not n:

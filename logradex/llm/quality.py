@@ -42,7 +42,7 @@ LABELLED_DOCS = 5000
 MIN_DOCS = 4
 SCREEN = 5.0  # standard deviations
 ROUNDS = 250
-CACHE_WORDS = 300_000
+CACHE_WORDS = 50_000
 
 _STOP = frozenset(
     """the of and to in a is that it for was on are as with his they at be this from have or by one had not but what
