@@ -65,7 +65,7 @@ def check_h3(res: int | list[int] | None) -> list[int]:
     """Resolutions as a sorted list without repeats."""
     if res is None:
         return []
-    values = [res] if isinstance(res, int) and not isinstance(res, bool) else list(res)  # type: ignore[arg-type]
+    values = [res] if isinstance(res, int) else list(res)
     for v in values:
         if isinstance(v, bool) or not isinstance(v, int) or not 0 <= v <= 15:
             raise ValueError(f"a resolution is a whole number from 0 to 15, not {v!r}")
