@@ -3,11 +3,11 @@
 Each distinct shingle set gets a signature of ``COORDINATES`` minima.  Sets are posted
 under the (coordinate, value) pairs of a prefix of the signature, postings of one pair
 meet, and collisions over all coordinates are counted: a pair of sets is a candidate if
-at least ``MIN_MATCHES`` coordinates agree.  Candidates are confirmed on the full sets.
+at least ``least_matches`` coordinates agree.  Candidates are confirmed on the full sets.
 
 What is missed: two sets at the least similarity agree in one coordinate with
 probability 0.8, so they share none of ``POSTED`` posted values with probability
-0.2 ** 10, and agree in fewer than 33 of 64 coordinates with probability 2e-7.
+0.2 ** 10, and agree in fewer than ``least_matches`` coordinates with probability ``MISS``.
 
 How it stays linear:
 
@@ -18,7 +18,8 @@ How it stays linear:
   earlier partner.  Confirmed pairs give components, which settles groups of thousands
   of near copies with a few pairs each.  Lists above ``HOT`` are salted.
 * Second round (the rest): lists whose members are in one component are skipped.  In the
-  others every pair from different components is counted, so no link is lost.  A list
+  others every pair from different components is counted, over ``FINE_COORDINATES`` made
+  for these members alone, so no link is lost.  A list
   above ``HOT`` is refined: a pair in it also shares another posted value (all but
   0.2 ** 9 do), so its members are posted again under pairs of values; lists still above
   ``HOT`` are cut into blocks and each pair of blocks meets once.  No task ever holds
@@ -31,6 +32,8 @@ count as one document; a null id is a component of its own (null) and is kept.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,15 +46,31 @@ from . import common
 from .components import components
 
 COORDINATES = 64
+FINE_COORDINATES = 512
 POSTED = 10
-MIN_MATCHES = 33
+MISS = 2e-7
 HOT = 4000
 MAX_BROADCAST_IDS = 2_000_000
+CACHED_HASHES = 2_000_000
+
+
+
+@functools.cache
+def least_matches(n: int, similarity: float = 0.8, miss: float = MISS) -> int:
+    """The most matches of n coordinates that a pair of the least similarity falls short of with a
+    probability of at most ``miss``."""
+    total = 0.0
+    for k in range(n + 1):
+        total += math.comb(n, k) * similarity**k * (1 - similarity) ** (n - k)
+        if total > miss:
+            return k
+    return n
+
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _RNG = np.random.default_rng(20)
-_A = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
+_A = _RNG.integers(0, 1 << 63, FINE_COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 1 << 63, FINE_COORDINATES, dtype=np.uint64)
 _C = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -77,16 +96,23 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     return np.unique(_mix(h))
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """Minimum of each coordinate's permutation over a non-empty set."""
-    low = np.full(COORDINATES, np.uint64(0xFFFFFFFFFFFFFFFF))
+def signature(s: np.ndarray, n: int = COORDINATES) -> np.ndarray:
+    """Minimum of each coordinate's permutation over a non-empty set, mixed with the coordinate's number."""
+    low = np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF))
     for at in range(0, len(s), 2048):
         part = s[at : at + 2048]
-        np.minimum(low, (part[None, :] * _A[:, None] + _B[:, None]).min(axis=1), out=low)
-    return low
+        for c in range(0, n, 64):
+            rows = slice(c, min(c + 64, n))
+            np.minimum(low[rows], (part[None, :] * _A[rows, None] + _B[rows, None]).min(axis=1), out=low[rows])
+    return _mix(low ^ _PLACE[:n])
 
 
-_PLACE = np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_PLACE = np.arange(1, FINE_COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def sketch_of(low: np.ndarray) -> bytes:
+    """A byte of each coordinate."""
+    return (low >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -104,9 +130,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
                 sketch.append(None)
                 continue
             key.append(xxhash.xxh3_128_digest(s.tobytes()))
-            low = _mix(signature(s) ^ _PLACE)
+            low = signature(s)
             posted.append(low[:POSTED].view(np.int64))
-            sketch.append((low >> np.uint64(56)).astype(np.uint8).tobytes())
+            sketch.append(sketch_of(low))
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()),
              pa.array(posted, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
@@ -137,7 +163,7 @@ def _runs(batches: Iterator[pa.RecordBatch], head: int) -> Iterator[tuple[dict[s
         for name, col in zip(batch.schema.names, batch.columns):
             if name == "sketch":
                 flat = np.frombuffer(b"".join(col.to_pylist()), np.uint8)
-                cols[name] = flat.reshape(-1, COORDINATES)
+                cols[name] = flat.reshape(len(col), -1)
             else:
                 cols[name] = col.to_numpy(zero_copy_only=False)
         if rest is not None:
@@ -180,6 +206,7 @@ def _pairs(step: Callable, kind: pa.DataType, head: int) -> Callable:
 def _forest(cols: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Each member with the earlier member that most coordinates agree with."""
     ids, n, sketch = cols["id"], cols["n"], cols["sketch"]
+    least = least_matches(sketch.shape[1])
     for at in range(0, len(ids), 64):
         end = min(at + 64, len(ids))
         low = int(np.searchsorted(n, 0.8 * n[at] - 1))
@@ -187,7 +214,7 @@ def _forest(cols: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarra
         row, col = np.arange(at, end)[:, None], np.arange(low, end)[None, :]
         m[(col >= row) | (5 * n[None, low:end] < 4 * n[at:end, None])] = 0
         best = m.shape[1] - 1 - m[:, ::-1].argmax(axis=1)  # the latest of the best
-        good = np.flatnonzero(m[np.arange(end - at), best] >= MIN_MATCHES)
+        good = np.flatnonzero(m[np.arange(end - at), best] >= least)
         if len(good):
             yield ids[at + good], ids[low + best[good]]
 
@@ -195,7 +222,7 @@ def _forest(cols: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarra
 def _across(cols: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs from different components on which enough coordinates agree."""
     ids, n, sketch, comp = cols["id"], cols["n"], cols["sketch"], cols["component"]
-    block = cols.get("block")
+    block, least = cols.get("block"), least_matches(sketch.shape[1])
     for at in range(0, len(ids), 64):
         end = min(at + 64, len(ids))
         low = int(np.searchsorted(n, 0.8 * n[at] - 1))
@@ -206,9 +233,9 @@ def _across(cols: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarra
         if not ok.any():
             continue
         i, j = np.nonzero(ok)
-        for cut in range(0, len(i), 1 << 16):
-            x, y = i[cut : cut + (1 << 16)] + at, j[cut : cut + (1 << 16)] + low
-            good = (sketch[x] == sketch[y]).sum(axis=1) >= MIN_MATCHES
+        for cut in range(0, len(i), 1 << 14):
+            x, y = i[cut : cut + (1 << 14)] + at, j[cut : cut + (1 << 14)] + low
+            good = (sketch[x] == sketch[y]).sum(axis=1) >= least
             if good.any():
                 yield ids[x[good]], ids[y[good]]
 
@@ -221,25 +248,54 @@ def _candidates(lists: DataFrame, head: list[str], step: Callable, kind: str) ->
     return ordered.mapInArrow(_pairs(step, arrow, len(head)), f"a {kind}, b {kind}").distinct()
 
 
+def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the ids given; only those ids move if there are few enough, else texts are shuffled."""
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return texts.join(_few(ids), "id", "left_semi")
+
+
+def fine_sketches(texts: DataFrame, words: int) -> DataFrame:
+    """(id, sketch) with ``FINE_COORDINATES`` bytes each."""
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [sketch_of(signature(shingle_set(t, words), FINE_COORDINATES)) for t in common.binaries(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "sketch"])
+
+    return common.map_batches(texts, ["id", "text"], rows, f"id {kind}, sketch binary")
+
+
 def confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets are similar enough."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    if ids.count() <= MAX_BROADCAST_IDS:  # 8 bytes each
-        ids = F.broadcast(ids)
-    texts = texts.join(ids, "id", "left_semi").checkpoint()
+    texts = texts_of(docs, ids, id_col, text_col).checkpoint()
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"
     )
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict = {}
+        held = 0
+
+        def set_of(i, text: bytes | None) -> np.ndarray:  # an id comes in many pairs
+            nonlocal held
+            if i not in sets:
+                if held > CACHED_HASHES:
+                    sets.clear()
+                    held = 0
+                sets[i] = shingle_set(text, words)
+                held += len(sets[i])
+            return sets[i]
+
         for whole in batches:
             for batch in common.slices(whole):
                 keep = []
-                for x, y in zip(common.binaries(batch.column(2)), common.binaries(batch.column(3))):
-                    s, t = shingle_set(x, words), shingle_set(y, words)
-                    inter = len(np.intersect1d(s, t, assume_unique=True))
+                ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                texts = zip(common.binaries(batch.column(2)), common.binaries(batch.column(3)))
+                for (i, j), (x, y) in zip(ids, texts):
+                    s, t = set_of(i, x), set_of(j, y)
+                    inter = int((s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t).sum()) if len(s) else 0
                     keep.append(100 * inter >= percent * (len(s) + len(t) - inter))
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
@@ -291,11 +347,14 @@ def clusters(
         return lists.where("lo <> hi").drop("lo", "hi")
 
     value = labelled.select("id", "component", F.explode("posted").alias("value"))
-    value = value.join(mixed(value, ["value"]), "value")
-    payload = labelled.select("id", "n", "sketch", "component")
+    value = value.join(mixed(value, ["value"]), "value").checkpoint()
+    # few are left: they get long sketches, which tell pairs below the similarity from those above
+    open_ = value.select("id").distinct()
+    fine_sketch = fine_sketches(texts_of(docs, open_, id_col, text_col), words).dropDuplicates(["id"])
+    payload = labelled.select("id", "n", "component").join(fine_sketch, "id").checkpoint()
     plain = value.where(F.col("size") <= hot).select("value", "id").join(payload, "id")
     rest = _candidates(plain.select("value", "id", "n", "sketch", "component"), ["value"], _across, kind)
-    hot_lists = value.where(F.col("size") > hot).select("id", "component", "value").checkpoint()
+    hot_lists = value.where(F.col("size") > hot).select("id", "component", "value")
     if not hot_lists.isEmpty():
         fine = (
             hot_lists.join(labelled.select("id", F.explode("posted").alias("second")), "id")
