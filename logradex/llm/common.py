@@ -12,11 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch that goes to a Python worker, at most (Spark's own limit by rows knows nothing of long texts).
+MAX_BATCH = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make Python workers able to import this package, and name a checkpoint folder.
+    """Make Python workers able to import this package, bound their batches, and name a checkpoint folder.
 
     The folder of ``spark.checkpoint.dir`` is used where the session has one; only
     a session without it (tests, a notebook) gets a folder of its own.
@@ -26,6 +30,8 @@ def prepare(spark: SparkSession) -> None:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     sc = spark.sparkContext
+    if sc._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH)) > MAX_BATCH:
+        spark.conf.set(_BATCH, MAX_BATCH)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
 
