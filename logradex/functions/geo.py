@@ -15,7 +15,7 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance in metres."""
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     h = F.pow(F.sin(dlat), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon), 2)
-    return 2 * EARTH_RADIUS * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return 2 * EARTH_RADIUS * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))  # least() would skip a null
 
 
 # Transverse Mercator by Krueger's series in the third flattening, GRS80

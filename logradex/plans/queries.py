@@ -282,7 +282,7 @@ def _hav(a: str, b: str, c: str, d: str) -> str:
 
 
 _TIE_ORDER = "contagem_cnefe DESC, desvio_metros, endereco_encontrado, lat, lon"
-_DIST = f"""dd AS (SELECT *, {_hav("lat", "lon", "la", "lo")} AS dist FROM (
+_DIST = f"""dd AS (SELECT *, CASE WHEN la IS NOT NULL THEN {_hav("lat", "lon", "la", "lo")} END AS dist FROM (
   SELECT *, lead(lat) OVER w AS la, lead(lon) OVER w AS lo FROM c WINDOW w AS (PARTITION BY tempid ORDER BY {_TIE_ORDER})))"""
 _KEPT = f"""k AS (SELECT *, count(*) OVER (PARTITION BY tempid) > 1 AS empate, max(dist) OVER (PARTITION BY tempid) AS max_dist,
   bool_or(log_causa_confusao OR coalesce(regexp_matches(logradouro_encontrado, '{_p(SPELLED_HIGH)}')
