@@ -12,7 +12,7 @@ false negatives) discards the rest in bulk.
 The benchmark is a stated query set.  It is shipped in blocks of at most
 ``block_words`` words, so a worker's memory is bounded whatever its size; with more
 than one block every block passes over all documents and the hits are merged by
-document.
+document, before anything is cut or dropped.
 
 Edge cases: null or empty text has no words; null or empty items match nothing;
 a repeated item id counts once; a null item id is written as an empty string;
@@ -244,12 +244,15 @@ def find_hits(
     """
     spark = docs.sparkSession
     common.prepare(spark)
+    parts = [
+        spark.sparkContext.broadcast(block) for block in benchmark_blocks(benchmark, item_col, item_text_col, block_words)
+    ]
+    return _hits(docs, parts or [spark.sparkContext.broadcast([])], id_col, text_col, window)
+
+
+def _hits(docs: DataFrame, parts: list, id_col: str, text_col: str, window: int) -> DataFrame:
+    """The hits of all blocks, merged by id."""
     kind = docs.schema[id_col].dataType.simpleString()
-    parts = []
-    for block in benchmark_blocks(benchmark, item_col, item_text_col, block_words):
-        parts.append(spark.sparkContext.broadcast(block))
-    if not parts:
-        parts.append(spark.sparkContext.broadcast([]))
     fields = f"id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<a:bigint,b:bigint>>"
     outs = []
     for shipped in parts:
@@ -329,33 +332,85 @@ def decontaminate(
 ) -> DataFrame:
     """Remove matched spans of at least ``window`` words; drop documents of which such spans cover more
     than ``max_coverage`` of the words.  All other columns stay as they are.
+
+    The result doesn't depend on ``block_words``: see ``_in_rounds``.
     """
     spark = docs.sparkSession
     common.prepare(spark)
+    parts = [
+        spark.sparkContext.broadcast(block) for block in benchmark_blocks(benchmark, item_col, item_text_col, block_words)
+    ]
+    if not parts:
+        return docs
+    if len(parts) > 1:
+        return _in_rounds(docs, parts, text_col, window, max_coverage)
     at = docs.columns.index(text_col)
-    out = docs
-    for block in benchmark_blocks(benchmark, item_col, item_text_col, block_words):
-        shipped = spark.sparkContext.broadcast(block)
-
-        def run(batches, shipped=shipped):
-            m = _matcher(shipped.value, window)
-            for whole in batches:
-                for batch in common.slices(whole):
-                    keep, texts = [], []
-                    for text in common.binaries(batch.column(at)):
-                        total, hits, _ = m.scan(text)
-                        covered = 0
-                        while hits:  # what a cut joins may match again
-                            covered += sum(b - a for a, b in hits)
-                            text = without(text, hits)
-                            _, hits, _ = m.scan(text)
-                        keep.append(covered <= max_coverage * total)
-                        texts.append(text)
-                    column = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
-                    yield batch.set_column(at, batch.schema.field(at), column).filter(pa.array(keep, pa.bool_()))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    shipped = parts[0]
+
+    def run(batches):
+        m = _matcher(shipped.value, window)
+        for whole in batches:
+            for batch in common.slices(whole):
+                keep, texts = [], []
+                for text in common.binaries(batch.column(at)):
+                    total, hits, _ = m.scan(text)
+                    covered = 0
+                    while hits:  # what a cut joins may match again
+                        covered += sum(b - a for a, b in hits)
+                        text = without(text, hits)
+                        _, hits, _ = m.scan(text)
+                    keep.append(covered <= max_coverage * total)
+                    texts.append(text)
+                column = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
+                yield batch.set_column(at, batch.schema.field(at), column).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _in_rounds(docs: DataFrame, parts: list, text_col: str, window: int, max_coverage: float) -> DataFrame:
+    """The same for a benchmark of several blocks, of which a worker holds one at a time.
+
+    In each round all blocks look at the same text and their hits are cut together; what was cut goes
+    through another round, until no block hits.  Coverage counts the words cut in all rounds, of the
+    words that the document had at first.
+    """
+    row, total, covered, hit = (common.free_name(docs, x) for x in ("row", "total", "covered", "hit"))
+    zero = F.lit(0).cast("bigint")
+    # row numbers must not change between the reads
+    left = docs.select(
+        "*", F.monotonically_increasing_id().alias(row), zero.alias(total), zero.alias(covered)
+    ).checkpoint()
+    schema = left.schema
+
+    def cut(batches):
+        for whole in batches:
+            for batch in common.slices(whole):
+                at = {name: i for i, name in enumerate(batch.schema.names)}
+                texts, totals, counts = [], [], []
+                found = batch.column(at[hit]).to_pylist()
+                for text, n, c, h in zip(
+                    common.binaries(batch.column(at[text_col])), batch.column(at[total]).to_pylist(),
+                    batch.column(at[covered]).to_pylist(), found,
+                ):
+                    texts.append(without(text, [(s["a"], s["b"]) for s in h["spans"]]))
+                    totals.append(n or h["n_words"])
+                    counts.append(c + h["n_hit"])
+                new = {text_col: pa.array(texts, pa.binary()), total: pa.array(totals), covered: pa.array(counts)}
+                fields = [batch.schema.field(at[name]) for name in schema.names]
+                columns = [new[f.name].cast(f.type) if f.name in new else batch.column(at[f.name]) for f in fields]
+                keep = [c <= max_coverage * n for n, c in zip(totals, counts)]
+                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields)).filter(pa.array(keep, pa.bool_()))
+
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    out = None
+    while True:
+        found = _hits(left, parts, row, text_col, window).where("n_hit > 0")
+        found = found.select(F.col("id").alias(row), F.struct("n_words", "n_hit", "spans").alias(hit)).checkpoint()
+        settled = left.join(found, row, "left_anti").select(*names)
+        out = settled if out is None else out.union(settled)
+        if found.isEmpty():
+            return out
+        left = left.join(found, row).mapInArrow(cut, schema).checkpoint()
 
 
 def items_digest(items) -> object:

@@ -299,6 +299,23 @@ def test_decontamination_drops_what_is_mostly_benchmark(spark):
     assert {r.doc_id for r in out} == {2, 3} and "quick" not in "".join(r.text for r in out)
 
 
+def test_decontamination_is_the_same_in_blocks(spark):
+    say = lambda stem, n: " ".join(f"{stem}{i}" for i in range(n))
+    items = frame(spark, [("a", say("a", 8)), ("b", say("b", 8)), ("c", say("c", 10))], "item_id string, text string")
+    rows = [
+        (1, f"{say('x', 4)} {say('a', 8)} {say('b', 8)} {say('y', 4)}"),  # a third each, two thirds together
+        (2, f"{say('x', 20)} a0 a1 a2 {say('b', 8)} a3 a4 a5 a6 a7 {say('y', 20)}"),  # without b, a shows
+        (3, f"{say('x', 20)} {say('c', 10)} {say('y', 20)}"),
+        (4, say("x", 9)),
+        (4, None),
+    ]
+    want = [(2, f"{say('x', 20)}  {say('y', 20)}"), (3, f"{say('x', 20)}  {say('y', 20)}"), (4, None), (4, say("x", 9))]
+    for size in (decontam.BLOCK_WORDS, 16, 10):
+        out = decontam.decontaminate(frame(spark, rows), items, block_words=size)
+        assert out.columns == ["doc_id", "text"]
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=lambda r: (r[0], r[1] or "")) == want, size
+
+
 # 8 BPE
 
 
