@@ -31,7 +31,7 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -41,6 +41,8 @@ SAMPLE_DOCS = 1500
 LABELLED_DOCS = 5000
 MIN_DOCS = 4
 SCREEN = 5.0  # standard deviations
+SURE = 12.0  # log-likelihood ratio of a word of abuse, within its language
+LIFT = 100.0  # and how many times as often abusive documents have it
 ROUNDS = 250
 CACHE_WORDS = 50_000
 
@@ -54,6 +56,10 @@ _STOP = frozenset(
     el los las y del se por con para una su al lo como más pero sus le ha me si sin sobre este ya entre cuando
     muy también hasta hay donde quien desde todo nos durante uno ni contra otros ese eso""".split()
 )
+_STOP_ENGLISH = frozenset(
+    """the of and to is that it for with his they this from have by one had not but what all were when we there can your
+    which their said if do will each how them he she you my so no who""".split()
+)
 _ABUSE_NOUNS = frozenset(
     """idiot idiots moron morons loser losers clown clowns scum trash garbage fool fools jerk jerks imbecile cretin
     dumbass bastard bastards bitch whore slut pig pigs vermin parasite parasites freak freaks coward dimwit halfwit
@@ -118,9 +124,10 @@ class Facts:
         nouns, words, strong = len(found & _ABUSE_NOUNS), len(found & _ABUSE_WORDS), len(found & _ABUSE_STRONG)
         whole = len(found & known)
         stems = sum(w[:4] + "*" in known or w[:5] + "*" in known for w in found)
-        return "".join(
-            "-" if x else "+" for x in (nouns, words, strong, nouns + words > 1, whole, stems, whole + stems > 2)
-        )
+        # the fixed lists are English: on other text, that they find nothing tells nothing
+        foreign = len(found & (_STOP - _STOP_ENGLISH)) > len(found & _STOP_ENGLISH)
+        listed = "".join("-" if x else "0" if foreign else "+" for x in (nouns, words, strong, nouns + words > 1))
+        return listed + "".join("-" if x else "+" for x in (whole, stems, whole + stems > 2))
 
 
 ASPECTS = ("form", "civility")
@@ -172,33 +179,50 @@ def stems(text: str) -> set[str]:
 
 def learn_abuse(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, limit: int) -> frozenset[str]:
     """Words and stems that labelled abusive documents share and others don't have, from at most
-    about ``limit`` labelled rows of either kind."""
+    about ``limit`` labelled rows of either kind.
+
+    Each language (column ``lang``, if there is one) is judged by itself: a word counts if its share of
+    abusive documents is beyond chance, by a likelihood ratio, and beyond its share of the others, there
+    and in all languages.  So neither the table's size nor other languages set how many are needed.
+    """
     n = {bool(r[0]): r[1] for r in labels.where("toxic is not null").groupBy(F.col("toxic") > 0).count().collect()}
     draw = F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.lit("labels")), F.lit(1 << 40)) / float(1 << 40)
     share = F.when(F.col("toxic") > 0, min(1.0, limit / n.get(True, 1))).otherwise(min(1.0, limit / n.get(False, 1)))
     some = labels.where(draw < share).select(F.col(f"`{id_col}`").alias("id"), (F.col("toxic") > 0).alias("toxic"))
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), lang.alias("lang"))
+    texts = texts.where("text is not null")
     rows = texts.join(F.broadcast(some.where("toxic is not null").dropDuplicates(["id"])), "id")  # bounded by limit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in common.slices(whole):
-                found, bad = [], []
-                for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    s = stems(text)
+                found, bad, lang = [], [], []
+                for text, toxic, code in zip(*(col.to_pylist() for col in batch.columns)):
+                    s = [None, *stems(text)]  # the row without a stem counts documents
                     found += s
                     bad += [toxic] * len(s)
-                t = pa.table({"stem": found, "toxic": pa.array(bad, pa.bool_())})
-                t = t.group_by(["stem", "toxic"]).aggregate([([], "count_all")])
-                yield from t.rename_columns(["stem", "toxic", "n"]).combine_chunks().to_batches()
+                    lang += [code] * len(s)
+                t = pa.table({"stem": pa.array(found, pa.string()), "toxic": pa.array(bad, pa.bool_()), "lang": lang})
+                t = t.group_by(["stem", "toxic", "lang"]).aggregate([([], "count_all")])
+                yield from t.rename_columns(["stem", "toxic", "lang", "n"]).combine_chunks().to_batches()
 
-    counts = rows.select("text", "toxic").mapInArrow(run, "stem string, toxic boolean, n bigint")
+    counts = rows.select("text", "toxic", "lang").mapInArrow(run, "stem string, toxic boolean, lang string, n bigint")
     bad = F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0))
     good = F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n")))
-    table = counts.groupBy("stem").agg(bad.alias("bad"), good.alias("good"))
-    scale = min(1.0, limit / n.get(False, 1)) / min(1.0, limit / n.get(True, 1))
-    picked = table.where((F.col("bad") >= 8) & (F.col("bad") * scale > 30 * F.col("good")))
-    return frozenset(r[0] for r in picked.select("stem").collect())  # at most 1/8 of what bounded rows hold
+    table = counts.groupBy("stem", "lang").agg(bad.alias("bad"), good.alias("good")).checkpoint()
+    sizes = table.where("stem is null").select("lang", F.col("bad").alias("n_bad"), F.col("good").alias("n_good"))
+    everywhere = sizes.agg(F.sum("n_good")).first()[0] or 0
+    stem = table.where("stem is not null").withColumn("good_all", F.sum("good").over(Window.partitionBy("stem")))
+    stem = stem.where("bad > 1").join(F.broadcast(sizes), "lang")  # one row a language
+    b, g, n_b, n_g = (F.col(c).cast("double") for c in ("bad", "good", "n_bad", "n_good"))
+    has, n = b + g, n_b + n_g
+    ratio = F.lit(0.0)
+    for seen, due in ((b, has * n_b), (g, has * n_g), (n_b - b, (n - has) * n_b), (n_g - g, (n - has) * n_g)):
+        ratio += F.when(seen > 0, 2 * seen * F.log(seen * n / due)).otherwise(0.0)
+    among = F.greatest(g / n_g, F.col("good_all") / F.lit(max(everywhere, 1)))
+    picked = stem.where((n_g > 0) & (ratio >= SURE) & (b / n_b > LIFT * among))
+    return frozenset(r[0] for r in picked.select("stem").distinct().collect())  # of what bounded rows hold
 
 
 def vote_table(docs: DataFrame, id_col: str, text_col: str, known: frozenset[str]) -> DataFrame:

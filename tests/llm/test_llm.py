@@ -391,6 +391,21 @@ def test_quality_of_odd_rows(spark):
     assert quality.keep_good(frame(spark, [])).count() == 0
 
 
+def test_abuse_is_learned_in_every_language(spark):
+    rows, labels = [], []
+    for lang, n, bad, word in (("en", 400, 40, "clodpate"), ("de", 40, 5, "kotzbrocken"), ("xx", 30, 4, "zorgle")):
+        for i in range(n):
+            text = " ".join(f"{lang}{(i * 7 + k) % 50}" for k in range(20)) + (f" {word}" if i < bad else "")
+            rows.append((len(rows), text, lang))
+            labels.append((len(labels), int(i < bad)))
+    docs, labels = frame(spark, rows, DOC + ", lang string"), frame(spark, labels, "doc_id long, toxic int")
+    known = quality.learn_abuse(docs, labels, "doc_id", "text", quality.LABELLED_DOCS)
+    assert {"clodpate", "kotzbrocken", "zorgle"} <= known
+    assert not any(w[:2] in ("en", "de", "xx") for w in known)
+    assert quality.Facts("das ist nicht der kotzbrocken").civility(known) == "0000--+"  # English lists abstain
+    assert quality.Facts("this is not the word").civility(known) == "+" * 7
+
+
 def test_weak_model_recovers_accuracies():
     rng = random.Random(1)
     counts, truth = {}, {}
