@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import common
 
 DIMENSIONS = 1 << 18
-SAMPLE_DOCS = 1500
+SAMPLE_DOCS = 3000
 LABELLED_DOCS = 5000
 MIN_DOCS = 4
 SCREEN = 5.0  # standard deviations

@@ -406,6 +406,10 @@ def test_abuse_is_learned_in_every_language(spark):
     assert quality.Facts("this is not the word").civility(known) == "+" * 7
 
 
+def test_quality_samples_are_not_halved():
+    assert quality.SAMPLE_DOCS == 3000
+
+
 def test_weak_model_recovers_accuracies():
     rng = random.Random(1)
     counts, truth = {}, {}
