@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of a batch that goes to a Python worker, at most (Spark's own limit by rows knows nothing of long texts).
 MAX_BATCH = 8 << 20
+#: Bytes of a table that is broadcast, at most, a row counting ROW_BYTES more than its values.
+MAX_BROADCAST = 32 << 20
+ROW_BYTES = 16
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -22,8 +25,8 @@ ROOT = str(Path(__file__).resolve().parents[2])
 def prepare(spark: SparkSession) -> None:
     """Make Python workers able to import this package, bound their batches, and name a checkpoint folder.
 
-    The folder of ``spark.checkpoint.dir`` is used where the session has one; only
-    a session without it (tests, a notebook) gets a folder of its own.
+    The folder of ``spark.checkpoint.dir`` is used where the session has one; only a session on
+    one machine (tests, a notebook) gets a folder of its own without it, and one on a cluster fails.
     """
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -33,7 +36,12 @@ def prepare(spark: SparkSession) -> None:
     if sc._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH)) > MAX_BATCH:
         spark.conf.set(_BATCH, MAX_BATCH)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(folder)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -95,6 +103,12 @@ def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def broadcast_if_small(df: DataFrame, size: Column) -> DataFrame:
+    """``df`` marked for broadcast if the bytes of its rows, by ``size``, are counted to be at most
+    ``MAX_BROADCAST``; as it is otherwise.  Give it a checkpointed or cheap frame: it is read for that."""
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()
+    return F.broadcast(df) if total + ROW_BYTES * n <= MAX_BROADCAST else df
+
 
 
 def with_fields(schema, fields: list[tuple[str, str]]):

@@ -37,10 +37,10 @@ TAIL = '<aside class="sidebar"><p>Buy this</p></aside><div id="comments"><p>Nice
         (None, ""),
         ("", ""),
         ("plain words", "plain words"),
-        (page(CHROME + "<article><h1>A &amp; B</h1><p>one<p>two  <b>bo</b>ld<br>x</article>" + TAIL), "A & B\none\ntwo bold x"),
-        (page(CHROME + "<div class='post-12'><h2>T</h2><p>long text here</p><ul><li>i<li>ii</ul></div>" + TAIL), "T\nlong text here\ni\nii"),
-        (page("<main><p>a<script>var x='</p>'</script>b<!-- c --></p><form><p>f</p></form><p>&#233;&nbsp;&lt;</p></main>"), "ab\né <"),
-        (page("<article><p>first<div class='advert'><p>ad</p></div><p>last &am<p hidden>h</p><a hre"), "first\nlast &am"),
+        (page(CHROME + "<article><h1>A &amp; B</h1><p>one<p>two  <b>bo</b>ld<br>x</article>" + TAIL), "A & B\n\none\n\ntwo bold x"),
+        (page(CHROME + "<div class='post-12'><h2>T</h2><p>long text here</p><ul><li>i<li>ii</ul></div>" + TAIL), "T\n\nlong text here\n\ni\n\nii"),
+        (page("<main><p>a<script>var x='</p>'</script>b<!-- c --></p><form><p>f</p></form><p>&#233;&nbsp;&lt;</p></main>"), "ab\n\né <"),
+        (page("<article><p>first<div class='advert'><p>ad</p></div><p>last &am<p hidden>h</p><a hre"), "first\n\nlast &am"),
         (page("<ARTICLE><P>Upper</P><DIV CLASS=Share-Bar>s</DIV></ARTICLE>"), "Upper"),
         ("<p>a<b>c", "ac"),
     ],
