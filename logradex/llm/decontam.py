@@ -11,22 +11,27 @@ false negatives) discards the rest in bulk.
 
 The benchmark is a stated query set.  It is shipped in blocks of at most
 ``block_words`` words, so a worker's memory is bounded whatever its size; with more
-than one block every block passes over all documents and the hits are merged by
-document, before anything is cut or dropped.
+than one block, rows are numbered, each block passes over all of them in turn, and the
+hits are merged by row before anything is counted, cut or dropped, so the number of
+blocks doesn't show in any result.
 
 Edge cases: null or empty text has no words; null or empty items match nothing;
 a repeated item id counts once; a null item id is written as an empty string;
-an empty benchmark hits nothing; an empty table gives an empty result.
+an empty benchmark hits nothing; an empty table gives an empty result; rows of one id, and
+rows without an id, are judged each by itself; very long texts are read whole; columns of
+any other name stay as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
-from itertools import repeat
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,15 +199,15 @@ class Matcher:
         return n, hits, found
 
 
-_MATCHERS: dict[tuple, Matcher] = {}
+_MATCHERS: dict[tuple[str, int], Matcher] = {}
 
 
-def _matcher(items: list[tuple[str, bytes]], window: int) -> Matcher:
+def _matcher(block: tuple[str, list[tuple[str, bytes]]], window: int) -> Matcher:
     """A worker builds each block's automaton once and keeps the last one."""
-    key = window, hash(tuple(items))
+    key = block[0], window
     if key not in _MATCHERS:
         _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(items, window)
+        _MATCHERS[key] = Matcher(block[1], window)
     return _MATCHERS[key]
 
 
@@ -226,6 +231,14 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_w
         yield block
 
 
+def _shipped(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[Broadcast]:
+    """Each block under a name of its own, one at a time; there is one at least."""
+    sc = benchmark.sparkSession.sparkContext
+    blocks = benchmark_blocks(benchmark, item_col, text_col, block_words)
+    for block in chain([next(blocks, [])], blocks):
+        yield sc.broadcast((uuid.uuid4().hex, block))
+
+
 def find_hits(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -237,74 +250,96 @@ def find_hits(
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """Per document: id, n_words, n_hit, items (sorted), spans (word ranges).
+    """Per row: id, n_words, n_hit, items (sorted), spans (word ranges, merged).
 
-    With several blocks, ``id_col`` must be unique, as hits are merged by it; rows of one id are
-    taken as one document otherwise.
+    With several blocks, rows are numbered and the blocks' hits are merged by number, so ids may be null
+    or repeat.
     """
-    spark = docs.sparkSession
-    common.prepare(spark)
-    parts = [
-        spark.sparkContext.broadcast(block) for block in benchmark_blocks(benchmark, item_col, item_text_col, block_words)
-    ]
-    return _hits(docs, parts or [spark.sparkContext.broadcast([])], id_col, text_col, window)
+    common.prepare(docs.sparkSession)
+    shipped = _shipped(benchmark, item_col, item_text_col, block_words)
+    first = next(shipped)
+    second = next(shipped, None)
+    if second is None:
+        return _scan(docs, first, id_col, text_col, window)
+    row = common.free_name(docs, "row")
+    # row numbers must not change between the reads
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.monotonically_increasing_id().alias(row)).checkpoint()
+    ids = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(row).alias("number"))
+    found = _all_blocks(rows, chain([first, second], shipped), row, text_col, window, every=True)
+    return ids.join(found.withColumnRenamed("id", "number"), "number").drop("number")
 
 
-def _hits(docs: DataFrame, parts: list, id_col: str, text_col: str, window: int) -> DataFrame:
-    """The hits of all blocks, merged by id."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    fields = f"id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<a:bigint,b:bigint>>"
-    outs = []
-    for shipped in parts:
-
-        def rows(batch: pa.RecordBatch, shipped=shipped) -> pa.RecordBatch:
-            m = _matcher(shipped.value, window)
-            n_words, n_hit, items, spans = [], [], [], []
-            for text in common.binaries(batch.column(1)):
-                n, hits, found = m.scan(text)
-                n_words.append(n)
-                n_hit.append(sum(b - a for a, b in hits))
-                items.append(sorted({m.ids[i] for i in found}))
-                spans.append([{"a": a, "b": b} for a, b in hits])
-            cols = [
-                batch.column(0),
-                pa.array(n_words, pa.int64()),
-                pa.array(n_hit, pa.int64()),
-                pa.array(items, pa.list_(pa.string())),
-                pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
-            ]
-            return pa.RecordBatch.from_arrays(cols, ["id", "n_words", "n_hit", "items", "spans"])
-
-        outs.append(common.map_batches(docs, [id_col, text_col], rows, fields))
-    if len(outs) == 1:
-        return outs[0]
-    every = outs[0]
-    for out in outs[1:]:
-        every = every.union(out)
-    merged = every.groupBy("id").agg(
+def _all_blocks(
+    docs: DataFrame, shipped: Iterable[Broadcast], row: str, text_col: str, window: int, every: bool = False
+) -> DataFrame:
+    """The hits of all blocks by row number, of which an executor holds one block at a time; rows without a
+    hit only if ``every`` row is asked for."""
+    found = None
+    for block in shipped:
+        out = _scan(docs, block, row, text_col, window)
+        if found is not None or not every:
+            out = out.where("n_hit > 0")
+        out = out.checkpoint()
+        block.destroy()
+        found = out if found is None else found.union(out)
+    merged = found.groupBy("id").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        merge_ranges(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"),
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
     )
-    total = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["b"] - x["a"])
-    return merged.withColumn("n_hit", total).select("id", "n_words", "n_hit", "items", "spans")
 
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans = [merge_ranges([(x["a"], x["b"]) for x in s]) for s in batch.column(3).to_pylist()]
+        n_hit = [sum(b - a for a, b in s) for s in spans]
+        cols = [batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), batch.column(2), _span_array(spans)]
+        return pa.RecordBatch.from_arrays(cols, _NAMES)
+
+    return common.map_batches(merged, ["id", "n_words", "items", "spans"], rows, f"id bigint, {_FIELDS}")
 
-def merge_ranges(spans):
-    """Union of sorted [a, b) ranges."""
-    empty = F.array().cast("array<struct<a:bigint,b:bigint>>")
 
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        joined = F.concat(
-            F.slice(acc, F.lit(1), F.size(acc) - 1),
-            F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))),
-        )
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["b"] >= x["a"]), joined).otherwise(
-            F.concat(acc, F.array(x))
-        )
+_NAMES = ["id", "n_words", "n_hit", "items", "spans"]
+_FIELDS = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<a:bigint,b:bigint>>"
 
-    return F.aggregate(spans, empty, lambda acc, x: step(acc, x))
+
+def _span_array(spans: list[list[tuple[int, int]]]) -> pa.Array:
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    return pa.array([[{"a": a, "b": b} for a, b in s] for s in spans], kind)
+
+
+def _scan(docs: DataFrame, shipped: Broadcast, id_col: str, text_col: str, window: int) -> DataFrame:
+    """The hits of one block, a row for each document."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        m = _matcher(shipped.value, window)
+        n_words, n_hit, items, spans = [], [], [], []
+        for text in common.binaries(batch.column(1)):
+            n, hits, found = m.scan(text)
+            n_words.append(n)
+            n_hit.append(sum(b - a for a, b in hits))
+            items.append(sorted({m.ids[i] for i in found}))
+            spans.append(hits)
+        cols = [
+            batch.column(0),
+            pa.array(n_words, pa.int64()),
+            pa.array(n_hit, pa.int64()),
+            pa.array(items, pa.list_(pa.string())),
+            _span_array(spans),
+        ]
+        return pa.RecordBatch.from_arrays(cols, _NAMES)
+
+    return common.map_batches(docs, [id_col, text_col], rows, f"id {kind}, {_FIELDS}")
+
+
+def merge_ranges(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Union of sorted [a, b) ranges."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
 def without(text: bytes, hits: list[tuple[int, int]]) -> bytes:
@@ -335,17 +370,15 @@ def decontaminate(
 
     The result doesn't depend on ``block_words``: see ``_in_rounds``.
     """
-    spark = docs.sparkSession
-    common.prepare(spark)
-    parts = [
-        spark.sparkContext.broadcast(block) for block in benchmark_blocks(benchmark, item_col, item_text_col, block_words)
-    ]
-    if not parts:
-        return docs
-    if len(parts) > 1:
-        return _in_rounds(docs, parts, text_col, window, max_coverage)
+    common.prepare(docs.sparkSession)
+
+    def blocks() -> Iterator[Broadcast]:
+        return _shipped(benchmark, item_col, item_text_col, block_words)
+
+    shipped, second = (list(islice(blocks(), 2)) + [None])[:2]
+    if second is not None:
+        return _in_rounds(docs, blocks, text_col, window, max_coverage)
     at = docs.columns.index(text_col)
-    shipped = parts[0]
 
     def run(batches):
         m = _matcher(shipped.value, window)
@@ -367,7 +400,9 @@ def decontaminate(
     return docs.mapInArrow(run, docs.schema)
 
 
-def _in_rounds(docs: DataFrame, parts: list, text_col: str, window: int, max_coverage: float) -> DataFrame:
+def _in_rounds(
+    docs: DataFrame, blocks: Callable[[], Iterator[Broadcast]], text_col: str, window: int, max_coverage: float
+) -> DataFrame:
     """The same for a benchmark of several blocks, of which a worker holds one at a time.
 
     In each round all blocks look at the same text and their hits are cut together; what was cut goes
@@ -404,7 +439,7 @@ def _in_rounds(docs: DataFrame, parts: list, text_col: str, window: int, max_cov
     names = [F.col(f"`{c}`") for c in docs.columns]
     out = None
     while True:
-        found = _hits(left, parts, row, text_col, window).where("n_hit > 0")
+        found = _all_blocks(left, blocks(), row, text_col, window)
         found = found.select(F.col("id").alias(row), F.struct("n_words", "n_hit", "spans").alias(hit)).checkpoint()
         settled = left.join(found, row, "left_anti").select(*names)
         out = settled if out is None else out.union(settled)
@@ -413,24 +448,24 @@ def _in_rounds(docs: DataFrame, parts: list, text_col: str, window: int, max_cov
         left = left.join(found, row).mapInArrow(cut, schema).checkpoint()
 
 
-def items_digest(items) -> object:
-    return F.sha2(F.array_join(items, ",").cast("binary"), 256)
-
-
-def op7(spark, sf_dir: str) -> DataFrame:
-    """Documents against the benchmark, one row each."""
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find_hits(docs, common.table(spark, sf_dir, "benchmark"))
+def verdicts(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The counts of ``find_hits``, the digest of the items, and whether two items or more occur."""
     return found.select(
-        F.col("id").alias("doc_id"),
+        F.col("id").alias(id_col),
         "n_words",
         "n_hit",
         F.size("items").cast("bigint").alias("n_items"),
-        items_digest(F.col("items")).alias("items_sha256"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("items") >= 2).alias("contaminated"),
     )
 
 
+def op7(spark, sf_dir: str) -> DataFrame:
+    """Documents against the benchmark, one row each."""
+    docs = common.table(spark, sf_dir, "documents")
+    return verdicts(find_hits(docs, common.table(spark, sf_dir, "benchmark")))
+
+
 def brute_force(text: str | None, items: list[tuple[str, str | None]], window: int = WINDOW) -> dict:
     """The contract read literally, for tests."""
     words = words_of(None if text is None else text.encode())

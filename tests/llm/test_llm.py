@@ -285,6 +285,8 @@ def test_decontamination_agrees_with_brute_force(spark):
     for block in (1000, 14):  # several blocks give the same
         found = decontam.find_hits(frame(spark, docs), items, block_words=block).collect()
         assert {r.id: (r.n_words, r.n_hit, len(r["items"])) for r in found} == {i: (w["n_words"], w["n_hit"], w["n_items"]) for i, w in want.items()}
+        judged = decontam.verdicts(decontam.find_hits(frame(spark, docs), items, block_words=block)).collect()
+        assert {r.doc_id: {k: r[k] for k in want[0]} for r in judged} == want
     clean = decontam.decontaminate(frame(spark, docs), items, max_coverage=1.0).collect()
     assert len(clean) == len(docs) and all(decontam.brute_force(r.text, ITEMS)["n_hit"] == 0 for r in clean)
     assert {r.doc_id for r in clean if r.text is None} == {100}
@@ -316,6 +318,38 @@ def test_decontamination_is_the_same_in_blocks(spark):
         assert sorted(((r.doc_id, r.text) for r in out.collect()), key=lambda r: (r[0], r[1] or "")) == want, size
 
 
+def test_decontamination_of_odd_rows(spark):
+    item, tiny = ITEMS[0][1], ITEMS[1][1]
+    rows = [(1, item, "r", 1), (1, tiny, "r", 1), (None, tiny, "r", 1), (None, item, "r", 1), (None, None, None, None), (2, "one " * 50000, "", 0)]
+    df = frame(spark, rows, "doc_id long, text string, row string, number int")
+    items = frame(spark, ITEMS, "item_id string, text string")
+    seen = []
+    for block in (8, 14, decontam.BLOCK_WORDS):
+        out = decontam.verdicts(decontam.find_hits(df, items, block_words=block)).collect()
+        seen.append(sorted(tuple(r) for r in map(lambda r: (r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated), out)))
+        clean = decontam.decontaminate(df, items, block_words=block, max_coverage=1.0)
+        assert clean.columns == df.columns and clean.count() == len(rows)
+    want = [decontam.brute_force(t, ITEMS) if i != 2 else {"n_words": 50000, "n_hit": 50000, "n_items": 1} for i, t, *_ in rows]
+    assert seen[0] == seen[1] == seen[2]
+    assert [s[:4] for s in seen[0]] == sorted((r[0] or 0, w["n_words"], w["n_hit"], w["n_items"]) for r, w in zip(rows, want))
+    none = frame(spark, [])
+    assert decontam.find_hits(none, items).count() == decontam.find_hits(none, items, block_words=8).count() == 0
+    assert decontam.decontaminate(none, items).count() == decontam.decontaminate(none, items, block_words=8).count() == 0
+    assert decontam.decontaminate(df, items.where("false")).count() == len(rows)
+
+
+def test_op7_on_whole_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r.asDict() for r in decontam.op7(spark, sf).collect()}
+    some = sorted(got, key=lambda i: (-got[i]["n_hit"], len(texts[i] or "")))
+    assert got.keys() == texts.keys() and got[some[0]]["n_hit"]
+    short = [i for i in texts if len(texts[i] or "") < 4000]
+    for i in [*some[:10], *short[:60]]:
+        assert got[i] == {"doc_id": i, **decontam.brute_force(texts[i], items)}
+
+
 # 8 BPE
 
 
