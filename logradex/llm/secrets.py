@@ -2,40 +2,58 @@
 
 A document's text is the first layer on a worklist.  Each layer is scanned for the three
 kinds of secret; then its encoded stretches are unwrapped into further layers, until
-nothing new appears.  Percent escapes and Unicode escapes are replaced in place, so that
-a secret which is escaped in part is still found; base64 runs, and compressed data inside
-them, become layers of their own.  A layer that occurred before is not unwrapped again,
-which ends cycles.
-
-Each layer keeps, for every character, the range of the document's text that it comes
-from; a span found in a layer is reported as the range from its first to its last
-character's origin.  Spans of the first layer (base spans) always stay; a span found in
-a deeper layer is added unless the same kind and range is known.
-
-Decompressed data is read up to ``MAX_INFLATED`` bytes per stream: a guard against
-decompression bombs, and the one limit here.
-
-Edge cases: null text is empty; lone escapes and undecodable runs stay as they are.
+nothing new appears:
+
+* Percent escapes and Unicode escapes are replaced in place, so that a secret which is
+  escaped in part is still found.  Where a decoded character begins another escape, that
+  one is followed to its end at once, so any depth of nesting takes one pass.
+* Base64 runs, over wrapped lines too, are decoded at each of the four alignments, so
+  that letters, slashes or underscores in front of a payload don't hide it.  What is
+  decoded becomes a layer if some stretch of it is readable, whatever else it holds.
+* Compressed data (gzip, zlib, bzip2, xz, zstandard, all members) is inflated from wherever
+  its magic number stands in a layer, through compression within compression.  It streams:
+  the inflated text is scanned in segments, cut where no secret and no encoded run can
+  cross, so memory holds a segment (and the longest run without such a place), not the
+  stream, and there is no limit to its length.
+
+A layer (by its digest and the range it comes from) that occurred before is not unwrapped
+again, and compression within compression ends where a stream repeats, which ends cycles.
+
+Each layer maps its characters back, layer by layer, to the document; a span found in a
+layer is reported as the range from its first to its last character's origin.  Inflated text
+comes as a whole from the range of the compressed data.  Spans of the first layer (base spans)
+always stay; a span found in a deeper layer is added unless the same kind and range is known.
+
+Deeper layers hold one character for each byte: secrets are ASCII, so no other decoding
+could change what is found; for UTF-16 each second byte is a layer too.
+
+Edge cases: null and empty text have no spans; lone escapes and undecodable runs stay as they
+are; damaged compressed data is read up to the damage; very long texts are read whole; repeated
+rows and null ids give a row each; an empty table gives an empty result; columns of any other
+name play no part.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
+import io
 import lzma
 import re
 import zlib
 from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 
 from . import common
 
 KINDS = ("assign", "access", "hex")
-MAX_INFLATED = 16 << 20
+CHUNK = 1 << 20
 MIN_BASE64 = 16
 
 _ASSIGN = re.compile(
@@ -43,17 +61,23 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(
-    r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+"
+_ESCAPE = re.compile(
+    r"%([0-9A-Fa-f]{2})|\\(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))"
+    r"|&#(?:([0-9]{1,7})|[xX]([0-9A-Fa-f]{1,6}));"
 )
-_UNIT = re.compile(r"\\u\{?([0-9A-Fa-f]+)\}?|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
-_UNIT_ONE = re.compile(
-    r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};"
+_LONGEST_ESCAPE = 12
+_BASE64 = re.compile(
+    r"[A-Za-z0-9+/_-]{%d,}+(?:\r?+\n[ \t]*+[A-Za-z0-9+/_-]{%d,}+)*+(?:\r?+\n[ \t]*+[A-Za-z0-9+/_-]++)?+"
+    % (MIN_BASE64, MIN_BASE64)
 )
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
-# a base64 run of readable text has digits, both cases or padding; plain words have not
-_MIXED = re.compile(r"(?=.*[A-Z])(?=.*[a-z0-9])", re.DOTALL)
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+#: All secrets, and all encodings of them in text, have so many printable characters in a row.
+_READABLE = re.compile(rb"[\x20-\x7e\t\r\n]{12,}")
+_MAGIC = re.compile(
+    r"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd"
+)
+#: No secret and no encoded run crosses such a place.
+_SAFE = re.compile(r"""[^A-Za-z0-9+/_.=\-"':\x20%\\&#;{}\r\n\t]|[^A-Za-z0-9+/_=\-\x20\t\r]\r?\n""")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -70,161 +94,288 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """Text, and runs that map it to the document: (start here, start there, end there, copied)."""
-
-    def __init__(self, text: str, runs: list[tuple[int, int, int, bool]]) -> None:
-        self.text, self.runs = text, runs
-        self.starts = [r[0] for r in runs]
-
-    def origin(self, start: int, end: int) -> tuple[int, int]:
-        a = self.runs[bisect_right(self.starts, start) - 1]
-        b = self.runs[bisect_right(self.starts, end - 1) - 1]
-        first = a[1] + (start - a[0]) if a[3] else a[1]
-        last = b[1] + (end - b[0]) if b[3] else b[2]
-        return first, last
-
-    def sub(self, pieces: list[tuple[int, int, str | None]]) -> Layer:
-        """A layer of pieces (start here, end here, replacement or None for a copy)."""
-        text, runs, at = [], [], 0
-        for start, end, new in pieces:
-            if start == end or new == "":
-                continue
-            if new is not None:
-                runs.append((at, *self.origin(start, end), False))
-                text.append(new)
-                at += len(new)
-                continue
-            k = bisect_right(self.starts, start) - 1
-            while start < end:  # a copy can take in several runs
-                here, there, there_end, copied = self.runs[k]
-                stop = min(end, self.starts[k + 1] if k + 1 < len(self.starts) else end)
-                if copied:
-                    runs.append((at, there + start - here, there + stop - here, True))
-                else:
-                    runs.append((at, there, there_end, False))
-                text.append(self.text[start:stop])
-                at += stop - start
-                start, k = stop, k + 1
-        return Layer("".join(text), runs)
-
-
-def readable(data: bytes) -> str | None:
-    """The text, if the bytes are text: UTF-8 of printable characters and white space."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    if not text or any(not (c.isprintable() or c in "\r\n\t") for c in text):
-        return None
-    return text
-
-
-def inflate(data: bytes) -> bytes | None:
-    """Decompressed bytes of gzip, zlib, bzip2, xz or zstandard data."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, MAX_INFLATED)
-        if len(data) > 2 and data[0] & 0x0F == 8 and int.from_bytes(data[:2], "big") % 31 == 0:
-            return zlib.decompressobj().decompress(data, MAX_INFLATED)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MAX_INFLATED)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, MAX_INFLATED)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            return zstandard.ZstdDecompressor().decompressobj().decompress(data)[:MAX_INFLATED]
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-    except Exception as e:  # zstandard has an error class of its own
-        if type(e).__name__ != "ZstdError":
-            raise
-    return None
-
-
-def from_base64(run: str) -> str | None:
-    """The text in a base64 run, through any compression; None if it holds none."""
-    body = run.rstrip("=")
-    if len(body) % 4 == 1 or not _MIXED.match(body):
-        return None
-    try:
-        data = base64.b64decode(body.translate({45: 43, 95: 47}) + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-    while (inner := inflate(data)) is not None:
-        if inner == data:
-            break
-        data = inner
-    return readable(data)
-
-
-def _units(run: str) -> str | None:
-    codes = []
-    for m in _UNIT.finditer(run):
-        hexa = m[1] or m[2] or m[3] or m[5]
-        codes.append(int(hexa, 16) if hexa else int(m[4]))
-    if any(c > 0x10FFFF for c in codes):
-        return None
-    raw = b"".join(
-        c.to_bytes(2, "big") if c < 0x10000 else chr(c).encode("utf-16-be") for c in codes
-    )
-    try:
-        return raw.decode("utf-16-be")
-    except UnicodeDecodeError:
-        return None
-
-
-def unwrap(layer: Layer) -> list[Layer]:
-    text = layer.text
-    out = []
-    found: list[tuple[int, int, str]] = []
-    if "%" in text:
-        for m in _PERCENT.finditer(text):
-            new = bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace")
-            if len(new) * 3 == len(m[0]):  # one character per escape: map each by itself
-                found += [(m.start() + 3 * i, m.start() + 3 * i + 3, c) for i, c in enumerate(new)]
-            else:
-                found.append((m.start(), m.end(), new))
-    if "\\" in text or "&#" in text:
-        for m in _UNICODE.finditer(text):
-            for u in _UNIT_ONE.finditer(m[0]) if _units(m[0]) and len(_units(m[0])) == len(
-                _UNIT_ONE.findall(m[0])
-            ) else ():
-                found.append((m.start() + u.start(), m.start() + u.end(), _units(u[0])))
-            if not found or found[-1][1] <= m.start():
-                new = _units(m[0])
-                if new is not None:
-                    found.append((m.start(), m.end(), new))
-    if found:
-        found.sort()
-        pieces, at = [], 0
-        for start, end, new in found:
-            pieces += [(at, start, None), (start, end, new)]
+    """A text and the way back to the document, here itself."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+
+    def back(self, start: int, end: int) -> tuple[int, int]:
+        return start, end
+
+
+class Unescaped(Layer):
+    """``parent`` with the units (start, end, character) replaced."""
+
+    def __init__(self, parent: Layer, units: list[tuple[int, int, str]]) -> None:
+        self.parent = parent
+        self.here, self.there = [0], [0]  # where each unit ends, here and there
+        parts, at, size = [], 0, 0
+        for start, end, char in units:
+            parts += [parent.text[at:start], char]
+            size += start - at + 1
+            self.here.append(size)
+            self.there.append(end)
             at = end
-        pieces.append((at, len(text), None))
-        out.append(layer.sub(pieces))
-    for m in _BASE64.finditer(text):
-        new = from_base64(m[0])
-        if new is not None:
-            out.append(layer.sub([(m.start(), m.end(), new)]))
+        super().__init__("".join([*parts, parent.text[at:]]))
+
+    def _range(self, i: int) -> tuple[int, int]:
+        k = bisect_right(self.here, i)
+        if k < len(self.here) and self.here[k] == i + 1:  # a unit
+            start = self.there[k - 1] + i - self.here[k - 1]
+            return start, self.there[k]
+        start = self.there[k - 1] + i - self.here[k - 1]
+        return start, start + 1
+
+    def back(self, start: int, end: int) -> tuple[int, int]:
+        return self.parent.back(self._range(start)[0], self._range(end - 1)[1])
+
+
+class Decoded(Layer):
+    """Every ``step``-th byte, from ``first`` on, of base64 that begins ``skip`` characters into the lines given as
+    (start in the run, start in the parent)."""
+
+    def __init__(self, parent: Layer, data: bytes, skip: int, lines: list[tuple[int, int]], first: int = 0, step: int = 1) -> None:
+        super().__init__(data.decode("latin-1"))
+        self.parent, self.skip, self.first, self.step = parent, skip, first, step
+        self.runs, self.places = zip(*lines)
+
+    def _place(self, i: int) -> int:
+        k = bisect_right(self.runs, i) - 1
+        return self.places[k] + i - self.runs[k]
+
+    def back(self, start: int, end: int) -> tuple[int, int]:
+        a, b = self.first + self.step * start, self.first + self.step * (end - 1)
+        return self.parent.back(
+            self._place(self.skip + a // 3 * 4 + a % 3), self._place(self.skip + b // 3 * 4 + b % 3 + 1) + 1
+        )
+
+
+class Inflated(Layer):
+    """A segment of a stream, all of it from one range of the document."""
+
+    def __init__(self, text: str, origin: tuple[int, int]) -> None:
+        super().__init__(text)
+        self.origin = origin
+
+    def back(self, start: int, end: int) -> tuple[int, int]:
+        return self.origin
+
+
+# escapes
+
+
+def _char(m: re.Match) -> str | None:
+    code = int(m[6]) if m[6] else int(m[1] or m[2] or m[3] or m[4] or m[5] or m[7], 16)
+    return chr(code) if code <= 0x10FFFF else None
+
+
+def escapes(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, character) of the escapes, each followed to its end."""
+    out, at = [], 0
+    while (m := _ESCAPE.search(text, at)) is not None:
+        at = m.end()
+        char = _char(m)
+        if char is None:
+            continue
+        while char in "%\\&" and (n := _ESCAPE.match(char + text[at : at + _LONGEST_ESCAPE])):
+            inner = _char(n)
+            if inner is None:
+                break
+            char, at = inner, at + n.end() - 1
+        out.append((m.start(), at, char))
     return out
 
 
+# base64
+
+
+def decoded(layer: Layer, m: re.Match) -> Iterator[Layer]:
+    """What a base64 run holds, at each alignment."""
+    lines, size, parts = [], 0, []
+    for line in _LINE.finditer(layer.text, m.start(), m.end()):
+        lines.append((size, line.start()))
+        parts.append(line[0])
+        size += len(line[0])
+    run = "".join(parts).translate({45: 43, 95: 47}).encode()
+    for skip in range(4):
+        body = run[skip:]
+        if len(body) % 4 == 1:
+            body = body[:-1]
+        data = binascii.a2b_base64(body + b"=" * (-len(body) % 4))
+        if _READABLE.search(data) or _MAGIC.search(data.decode("latin-1")):
+            yield Decoded(layer, data, skip, lines)
+        if data.count(0) * 4 >= len(data):
+            for first in (0, 1):
+                half = data[first::2]
+                if _READABLE.search(half):
+                    yield Decoded(layer, half, skip, lines, first, 2)
+
+
+# compressed data
+
+
+def _kind(head: bytes) -> str | None:
+    m = _MAGIC.match(head.decode("latin-1"))
+    return m and {"\x1f": "gzip", "x": "zlib", "B": "bzip2", "\xfd": "xz", "(": "zstd"}[m[0][0]]
+
+
+_MAKE = {
+    "gzip": lambda: zlib.decompressobj(31),
+    "zlib": zlib.decompressobj,
+    "bzip2": bz2.BZ2Decompressor,
+    "xz": lzma.LZMADecompressor,
+    "zstd": lambda: zstandard.ZstdDecompressor().decompressobj(),
+}
+
+
+class Stream:
+    """The inflated bytes of all members of one kind at the start of ``outer``, itself chunks of bytes; it can be read
+    again.  After a reading, ``used`` is how much of ``outer`` they took up, and ``whole`` tells that none is cut or damaged."""
+
+    def __init__(self, outer: Iterable[bytes], kind: str) -> None:
+        self.outer, self.kind, self.used, self.whole = outer, kind, 0, False
+
+    def __iter__(self) -> Iterator[bytes]:
+        self.used, self.whole = 0, False
+        # an object of zstandard has no limit to what it gives for what it takes: it takes little
+        width = 256 if self.kind == "zstd" else 1 << 16
+        d, rest = _MAKE[self.kind](), b""
+        try:
+            for chunk in self.outer:
+                for at in range(0, len(chunk), width):
+                    rest += chunk[at : at + width]
+                    while rest:
+                        if d.eof:
+                            if len(rest) < 12 and at + width < len(chunk):
+                                break
+                            if _kind(rest[:12]) != self.kind:
+                                return
+                            d = _MAKE[self.kind]()
+                        before = len(rest)
+                        for out in self._feed(d, rest):
+                            yield out
+                        rest = bytes(d.unused_data) if d.eof else b""
+                        self.used += before - len(rest)
+                        self.whole = d.eof
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError, zstandard.ZstdError):
+            return
+
+    def _feed(self, d, data: bytes) -> Iterator[bytes]:
+        if self.kind == "zstd":
+            if out := d.decompress(data):
+                yield out
+            return
+        while True:
+            out = d.decompress(data, CHUNK)
+            if out:
+                yield out
+            data = d.unconsumed_tail if self.kind in ("gzip", "zlib") else b""
+            if d.eof or not (data if self.kind in ("gzip", "zlib") else not d.needs_input):
+                return
+
+
+def _digest(stream: Iterable[bytes]) -> tuple[bytes, bytes]:
+    """Digest of all of a stream, and its first bytes."""
+    h, head = xxhash.xxh3_128(), b""
+    for chunk in stream:
+        h.update(chunk)
+        if len(head) < 12:
+            head += chunk[:12]
+    return h.digest(), head[:12]
+
+
+class _Bytes:
+    """The bytes that a text's characters from ``at`` on stand for, up to one that stands for none."""
+
+    def __init__(self, text: str, at: int) -> None:
+        self.text, self.at = text, at
+
+    def __iter__(self) -> Iterator[bytes]:
+        for i in range(self.at, len(self.text), 1 << 16):
+            part = self.text[i : i + (1 << 16)]
+            try:
+                yield part.encode("latin-1")
+            except UnicodeEncodeError as e:
+                yield part[: e.start].encode("latin-1")
+                return
+
+
+def inflated(layer: Layer) -> Iterator[Layer]:
+    """Segments of what is compressed in a layer, through further compression."""
+    done = 0
+    for m in _MAGIC.finditer(layer.text):
+        at = m.start()
+        if at < done:  # within a stream that was read to its end
+            continue
+        first = stream = Stream(_Bytes(layer.text, at), _kind(m[0].encode("latin-1")))
+        digest, head = _digest(stream)
+        if first.whole:
+            done = at + first.used
+        seen = {digest}
+        while head and (kind := _kind(head)) is not None:
+            inner = Stream(stream, kind)
+            digest, more = _digest(inner)
+            if not more or digest in seen:
+                break
+            seen.add(digest)
+            stream, head = inner, more
+        if not head:
+            continue
+        origin = layer.back(at, at + max(first.used, 1))
+        for segment in segments(stream):
+            text = segment.decode("latin-1")
+            if _READABLE.search(segment) or _MAGIC.search(text):
+                yield Inflated(text, origin)
+
+
+def segments(stream: Iterable[bytes]) -> Iterator[bytes]:
+    """A stream cut at safe places, about ``CHUNK`` bytes each."""
+    parts: list[bytes] = []
+    for chunk in stream:
+        text, cut, width = chunk.decode("latin-1"), 0, 64
+        while not cut and width < 64 * len(chunk):  # the last place, looked for from the end
+            for m in _SAFE.finditer(text, max(0, len(text) - width)):
+                cut = m.end()
+            width *= 64
+        if cut:
+            yield b"".join([*parts, chunk[:cut]])
+            parts = [chunk[cut:]]
+        else:
+            parts.append(chunk)
+    if any(parts):
+        yield b"".join(parts)
+
+
+def unwrap(layer: Layer) -> Iterator[Layer]:
+    text = layer.text
+    if ("%" in text or "\\" in text or "&#" in text) and (units := escapes(text)):
+        yield Unescaped(layer, units)
+    for m in _BASE64.finditer(text):
+        yield from decoded(layer, m)
+    yield from inflated(layer)
+
+
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans, as sorted (start, kind, end)."""
     base = scan(text)
     every = set(base)
-    seen = {text}
-    work = unwrap(Layer(text, [(0, 0, len(text), True)])) if text else []
+    seen: set[tuple[bytes, int, int]] = set()
+    work = [unwrap(Layer(text))] if text else []
     while work:
-        layer = work.pop()
-        if not layer.text or layer.text in seen:
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        if not layer.text:
+            continue
+        key = xxhash.xxh3_128_digest(layer.text.encode("utf-8", "surrogatepass")), *layer.back(0, len(layer.text))
+        if key in seen:
             continue
-        seen.add(layer.text)
+        seen.add(key)
         for start, kind, end in scan(layer.text):
-            a, b = layer.origin(start, end)
+            a, b = layer.back(start, end)
             every.add((a, kind, b))
-        work += unwrap(layer)
+        work.append(unwrap(layer))
     return base, sorted(every)
 
 
