@@ -1,24 +1,32 @@
 """Document fingerprints of closed syncmers, in DataFrame functions alone.
 
-A text is read as units: words, and for short texts or texts with few spaces (CJK, long
-runs) characters too.  A run of k units is an anchor if, among the hashes of its inner
-runs of s units, the smallest stands at either end.  Whether a run is an anchor depends on
-the run alone, so anchors survive whatever happens elsewhere in the text, and any k - s + 1
-neighbouring runs hold at least one (ties aside, which only add anchors).
-
-A fingerprint is the anchors' hashes in the order of their places.  Two fingerprints are
-alike to the share 2 * common / all of their anchors (each counted as often as it occurs), over characters if both
-have such anchors, else over words.
-
-``with_next`` gives each document its successor by id without a global sort in one task:
-ids are cut into ranges of about ``ROWS_PER_RANGE`` (by approximate percentiles, so the
-ranges are fixed numbers in the plan), texts move once, to their range, and the first row
-of each range also goes to the range before.
+A text is read as units: pieces of words, of at most ``PIECE`` characters from the word's start,
+and single characters of scripts that don't part words (Han, kana, Thai, ...).  A run of K units
+is an anchor if, among the hashes of its inner runs of S units, the smallest stands at either
+end.  Whether a run is an anchor depends on the run alone, so anchors survive whatever happens
+elsewhere in the text, and any K - S + 1 neighbouring runs hold at least one (ties aside, which
+only add anchors).  The same holds for every length of text; one of fewer than K units is one
+anchor as a whole.
+
+A fingerprint is the anchors' 64-bit hashes in the order of their places.  The likeness of two
+fingerprints matches anchors by place: of the hashes that both have, taken by the first place of
+each in the one, those count whose first place in the other comes after that of the one before.
+It is 2 * those / all, over distinct hashes, from 0 to 1.
+
+Since anchors are context-free, those of an edited text are those of the original up to the
+edit, and only the rest is searched again.
+
+``with_next`` gives each document its successor by id without a global sort in one task: ids are
+cut into ranges of about as many bytes each, texts move once, to their range, and the first row of
+each range also goes to the range before.  Segments between percentiles of the ids have their
+bytes counted, and are cut evenly by id; what holds a single id (or none), however many rows it has,
+is cut by a hash of the text.
 
 Edge cases: null text is empty; an empty text has an empty fingerprint, which is alike to
-1 to another empty one and 0 to all others; a text shorter than k units is one anchor;
-rows of one id are ordered by their texts, null ids come first; the successor of the last
-row is the first; a single row is its own successor.
+1 to another empty one and 0 to all others; null ids come first, rows of one id are in the order of
+a hash of their texts; the successor of the last row is the first; a single row is its own
+successor; very long texts are read whole; an empty table gives an empty result; columns of any other
+name stay as they are.
 """
 
 from __future__ import annotations
@@ -30,13 +38,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WORDS = (12, 2)  # k, s
-CHARS = (5, 2)
-SHORT_CHARS = 512
-CHARS_PER_WORD = 16  # with fewer words than that, characters count too
-ROWS_PER_RANGE = 1024
-MAX_RANGES = 1 << 16
-SEGMENTS = 64
+K, S = 12, 2
+PIECE = 4
+_ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+UNIT = rf"[{_ALONE}]|[^\s{_ALONE}]{{1,{PIECE}}}"
+
+RANGE_BYTES = 16 << 20
+RANGES_PER_TASK = 8
+SEGMENTS = 256
 
 
 def _bound(v: Column, f: Callable[[Column], Column]) -> Column:
@@ -44,153 +53,177 @@ def _bound(v: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(v), lambda x: f(x)), 1)
 
 
-def anchors(units: Column, k: int, s: int) -> Column:
-    """Places (from 0) and hashes of the closed syncmers of an array of strings."""
-    empty = F.array().cast("array<struct<at:int,hash:bigint>>")
+def units(text: Column) -> Column:
+    """Hashes of the units of a text."""
+    return F.transform(F.regexp_extract_all(text, F.lit(f"({UNIT})"), F.lit(1)), lambda u: F.xxhash64(u))
 
-    def of_hashes(h: Column) -> Column:
-        whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(h).alias("hash")))
-        return F.when(F.size(h) == 0, empty).when(F.size(h) < k, whole).otherwise(
-            _bound(_inner(h, s), lambda inner: _chosen(h, inner, k, k - s + 1))
-        )
 
-    return _bound(F.transform(units, lambda u: F.xxhash64(u)), of_hashes)
+def anchors(h: Column) -> Column:
+    """Places (from 0) and hashes of the closed syncmers of an array of hashes, evaluated once."""
+    empty = F.array().cast("array<struct<at:int,hash:bigint>>")
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(h).alias("hash")))
+    return F.when(F.size(h) == 0, empty).when(F.size(h) < K, whole).otherwise(
+        _bound(_inner(h), lambda inner: _chosen(h, inner, K - S + 1))
+    )
 
 
-def _inner(h: Column, s: int) -> Column:
-    """Hashes of the runs of s units, the last ones cut short (they are in no window)."""
-    if s == 1:
-        return h
-    return F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, s)]))
+def _inner(h: Column) -> Column:
+    """Hashes of the runs of S units, the last ones cut short (they are in no window)."""
+    return F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, S)]))
 
 
-def _chosen(h: Column, inner: Column, k: int, w: int) -> Column:
+def _chosen(h: Column, inner: Column, w: int) -> Column:
     def at_edge(i: Column) -> Column:
         low = F.array_min(F.slice(inner, i + 1, w))
         return _bound(low, lambda m: (m == F.get(inner, i)) | (m == F.get(inner, i + (w - 1))))
 
-    places = F.filter(F.sequence(F.lit(0), F.size(h) - k), at_edge)
-    return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(h, i + 1, k)).alias("hash")))
+    places = F.filter(F.sequence(F.lit(0), F.size(h) - K), at_edge)
+    return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(h, i + 1, K)).alias("hash")))
 
 
 def fingerprint(text: Column) -> Column:
-    """Struct of anchors: words, and chars (null unless the text is short or has few spaces)."""
-
-    def of(t: Column) -> Column:
-        words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
-        return _bound(
-            words,
-            lambda ws: F.struct(
-                anchors(ws, *WORDS).alias("words"),
-                F.when(
-                    (F.length(t) <= SHORT_CHARS) | (F.size(ws) * CHARS_PER_WORD < F.length(t)),
-                    anchors(F.regexp_extract_all(t, F.lit("(?s)(.)"), F.lit(1)), *CHARS),
-                ).alias("chars"),
+    """The anchors of a text, in order."""
+    return _bound(units(text), anchors)
+
+
+def fingerprint_of_edit(old: Column, old_units: Column, new_units: Column) -> Column:
+    """``fingerprint`` of the new units, given the anchors and units of the old ones.
+
+    Runs within the leading units that both have are anchors in both or neither.
+    """
+
+    def of(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        shared = F.least(F.size(a), F.size(b))
+        differ = F.filter(F.sequence(F.lit(1), F.greatest(shared, F.lit(1))), lambda i: ~F.get(a, i - 1).eqNullSafe(F.get(b, i - 1)))
+        same = F.coalesce(F.get(differ, F.lit(0)) - 1, shared)
+        # places from here on can see what differs; of a text of fewer than K units nothing is kept
+        begin = F.when(F.size(a) < K, 0).otherwise(F.greatest(same - K + 1, F.lit(0)))
+        begin = F.least(begin, F.greatest(F.size(b) - K, F.lit(0)))
+        return _bound(begin, lambda n: F.concat(
+            F.filter(old, lambda e: e["at"] < n),
+            F.transform(
+                _bound(F.slice(b, n + 1, F.greatest(F.size(b) - n, F.lit(0))), anchors),
+                lambda e: F.struct((e["at"] + n).alias("at"), e["hash"].alias("hash")),
             ),
-        )
+        ))
 
-    return _bound(text, of)
+    return _bound(F.struct(old_units.alias("a"), new_units.alias("b")), of)
 
 
 def as_text(fp: Column) -> Column:
-    """Anchors in the order of their places: w and 8 hex digits each, then c and 8 each."""
-
-    def hexa(a: Column) -> Column:
-        return F.array_join(
-            F.transform(a, lambda x: F.lower(F.lpad(F.hex(x["hash"].bitwiseAND(0xFFFFFFFF)), 8, "0"))), ""
-        )
-
-    return F.when((F.size(fp["words"]) == 0) & (F.coalesce(F.size(fp["chars"]), F.lit(0)) <= 0), "").otherwise(
-        F.concat(F.lit("w"), hexa(fp["words"]), F.coalesce(F.concat(F.lit("c"), hexa(fp["chars"])), F.lit("")))
-    )
+    """Anchors in the order of their places, 16 hex digits each."""
+    return F.array_join(F.transform(fp, lambda x: F.lower(F.lpad(F.hex(x["hash"]), 16, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1."""
 
-    def dice(x: Column, y: Column) -> Column:
-        def sided(v: Column, side: int) -> Column:
-            return F.transform(v, lambda e: F.struct(e["hash"].alias("h"), F.lit(side).alias("s")))
-
-        def step(acc: Column, e: Column) -> Column:
-            new, left = acc["h"] != e["h"], F.when(e["s"] == 0, 1).otherwise(0)
-            return F.struct(
-                e["h"].alias("h"),
-                (F.when(new, 0).otherwise(acc["x"]) + left).alias("x"),
-                (F.when(new, 0).otherwise(acc["y"]) + 1 - left).alias("y"),
-                (acc["n"] + F.when(new, F.least(acc["x"], acc["y"])).otherwise(0)).alias("n"),
-            )
-
-        start = F.struct(F.lit(0).cast("bigint").alias("h"), *[F.lit(0).alias(c) for c in ("x", "y", "n")])
-        common_ = F.aggregate(
-            F.array_sort(F.concat(sided(x, 0), sided(y, 1))), start, step, lambda acc: acc["n"] + F.least(acc["x"], acc["y"])
-        )
-        size = F.size(x) + F.size(y)
-        return F.when(size == 0, F.lit(1.0)).otherwise(2.0 * common_ / size)
-
-    both = a["chars"].isNotNull() & b["chars"].isNotNull()
-    return F.when(both, dice(a["chars"], b["chars"])).otherwise(dice(a["words"], b["words"]))
-
-
-def _range_of(docs: DataFrame, id_col: str) -> Column:
-    """The range of an id, rising with it; null ids have a range of their own, the first."""
-    ids = docs.select(F.col(f"`{id_col}`").alias("id"))
-    shares = [i / SEGMENTS for i in range(SEGMENTS + 1)]
-    n, cuts = ids.agg(F.count("*"), F.percentile_approx("id", shares, 10_000)).first()
-    if not cuts:
-        return F.lit(-1).cast("bigint")
-    cuts = sorted(set(cuts))
-    per = max(1, -(-min(MAX_RANGES, n // ROWS_PER_RANGE) // len(cuts)))
-    bounds = F.array(*[F.lit(c).cast("bigint") for c in cuts])
-    v = F.col(f"`{id_col}`").cast("bigint")
-    # approximate percentiles can lie above the least id: what is below belongs to the first segment
-    seg = F.greatest(F.size(F.filter(bounds, lambda b: b <= v)), F.lit(1))
+    def places(v: Column, side: int) -> Column:
+        # of equal hashes the first place in a stands last, that in b first, so the two are neighbours
+        return F.transform(v, lambda e, i: F.struct(e["hash"].alias("h"), F.lit(side).alias("s"), (i if side else -i).alias("i")))
 
-    def inside(s: Column) -> Column:
-        low = F.element_at(bounds, s).cast("double")
-        high = F.coalesce(F.try_element_at(bounds, s + 1).cast("double"), low + 1)
-        step = F.floor((v.cast("double") - low) * per / (high - low))
-        return s.cast("bigint") * per + F.greatest(F.lit(0), F.least(F.lit(per - 1), step))
+    def matched(x: Column) -> Column:
+        def both(e: Column, i: Column) -> Column:
+            n = F.get(x, i + 1)
+            return F.when((e["s"] == 0) & (n["s"] == 1) & (n["h"] == e["h"]), F.struct((-e["i"]).alias("a"), n["i"].alias("b")))
 
-    return F.when(v.isNull(), F.lit(-1).cast("bigint")).otherwise(_bound(seg, inside))
+        return F.sort_array(F.filter(F.transform(x, both), lambda p: p.isNotNull()))
 
+    def in_order(p: Column) -> Column:
+        return F.size(F.filter(F.transform(p, lambda e, i: F.coalesce(e["b"] > F.get(p, i - 1)["b"], i == 0)), lambda ok: ok))
 
-def with_next(docs: DataFrame, id_col: str, keep: list[str], carry: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rows with the columns ``keep`` and those that ``carry`` adds to them, each also of the next row as ``next_*``."""
-    ranged = docs.withColumn("range", _range_of(docs, id_col))
-    ids = ranged.select("range", F.col(id_col).alias("first"))
-    firsts = ids.groupBy("range").agg(F.min("first").alias("first"))  # at most MAX_RANGES rows and a few
-    order = Window.partitionBy(F.lit(0)).orderBy("range")
-    whole = Window.partitionBy(F.lit(0))
-    firsts = firsts.select(
-        F.col("range").alias("r"), "first", F.coalesce(F.lag("range").over(order), F.max("range").over(whole)).alias("before")
-    )
-    rows = ranged.join(F.broadcast(firsts), F.col("range") == F.col("r"))
-    places = F.array(F.struct(F.col("range").alias("to"), F.lit(0).alias("guest")))
-    guest = F.array(F.struct(F.col("before").alias("to"), F.lit(1).alias("guest")))
-    is_first = F.col(id_col).eqNullSafe(F.col("first"))
-    rows = rows.withColumn("place", F.explode(F.when(is_first, F.concat(places, guest)).otherwise(places)))
-    rows = rows.select(*keep, F.col("place.to").alias("range"), F.col("place.guest").alias("guest"))
-    rows = carry(rows.repartition("range"))
-    step = Window.partitionBy("range").orderBy("guest", F.col(id_col).asc_nulls_first(), *[c for c in keep if c != id_col])
-    extra = [c for c in rows.columns if c not in ("range", "guest", id_col)]
-    rows = rows.select("*", *[F.lead(c).over(step).alias(f"next_{c}") for c in extra])
-    return rows.where("guest = 0").drop("range", "guest")
+    kinds = F.size(F.array_distinct(F.transform(a, lambda e: e["hash"]))) + F.size(F.array_distinct(F.transform(b, lambda e: e["hash"])))
+    pairs = _bound(F.sort_array(F.concat(places(a, 0), places(b, 1))), matched)
+    return _bound(kinds, lambda n: F.when(n == 0, F.lit(1.0)).otherwise(2.0 * _bound(pairs, in_order) / n))
 
 
-def op4(spark, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(docs, "doc_id", ["doc_id", "text"], lambda d: d.withColumn("fp", fingerprint(F.col("text"))))
+def _range_of(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """The range of a row, rising with the id (null first) and, within one id, with a hash of the text."""
+    v, text = F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text_col}`")
+    shares = [i / SEGMENTS for i in range(SEGMENTS + 1)]
+    cuts = docs.agg(F.percentile_approx(v, shares, 10_000)).first()[0] or []
+    # an id that makes up a segment or more has one of its own
+    hot = {x for x, y in zip(cuts, cuts[1:]) if x == y and x < (1 << 63) - 1}
+    bounds = sorted({*cuts, *(x + 1 for x in hot)})
+    low = F.array(*[F.lit(b).cast("bigint") for b in bounds]) if bounds else F.array().cast("array<bigint>")
+    # approximate percentiles can lie above the least id: what is below belongs to the first segment
+    seg = F.when(v.isNull(), 0).otherwise(F.greatest(F.size(F.filter(low, lambda b: b <= v)), F.lit(1)))
+    found = docs.groupBy(seg.alias("seg")).agg(F.sum(F.octet_length(text).cast("bigint") + 64)).collect()  # SEGMENTS or so
+    size = {r[0]: r[1] for r in found}
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * RANGES_PER_TASK
+    target = max(1, min(RANGE_BYTES, sum(size.values()) // parts))
+    n = [max(1, -(-size.get(s, 0) // target)) for s in range(len(bounds) + 1)]
+    start = [sum(n[:s]) for s in range(len(n))]
+    widths = [1, *(min(b - a, 1 << 62) for a, b in zip(bounds, bounds[1:])), 1][: len(n)]
+    hashed = F.xxhash64(text).cast("double") / float(1 << 64) + 0.5
+
+    def longs(values: list[int]) -> Column:
+        return F.array(*[F.lit(x).cast("bigint") for x in values])
+
+    def inside(s: Column) -> Column:
+        width, many = F.get(longs(widths), s), F.get(longs(n), s)
+        least = F.get(low, s - 1)
+        alone = F.when(v > least, 1.0).when(v < least, 0.0).otherwise(hashed)
+        share = F.when(width == 1, alone).otherwise((v.cast("double") - least) / width)
+        return F.get(longs(start), s) + F.greatest(F.lit(0), F.least(many - 1, F.floor(share * many)))
+
+    return _bound(seg, inside)
+
+
+def with_next(
+    docs: DataFrame, carry: Callable[[DataFrame], DataFrame] = lambda d: d, ahead: tuple[str, ...] = (), *,
+    id_col: str = "doc_id", text_col: str = "text", next_col: str = "next",
+) -> DataFrame:
+    """All rows with their columns and those that ``carry`` adds, and a struct of the text (null: empty) and the
+    columns ``ahead`` of the row of the next id."""
+    names = {x: common.free_name(docs, x) for x in ("range", "guest", "places", "first", "before", "r")}
+    c = {x: F.col(n) for x, n in names.items()}
+    me, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    ranged = docs.withColumn(names["range"], _range_of(docs.withColumn(text_col, text), id_col, text_col))
+    firsts = ranged.groupBy(names["range"]).agg(F.min(me).alias(names["first"])).checkpoint()
+    step, whole = Window.partitionBy(F.lit(0)).orderBy(names["range"]), Window.partitionBy(F.lit(0))
+    firsts = firsts.select(
+        c["range"].alias(names["r"]), names["first"],
+        F.coalesce(F.lag(names["range"]).over(step), F.max(names["range"]).over(whole)).alias(names["before"]),
+    )  # one row a range
+    rows = ranged.join(common.broadcast_if_small(firsts, F.lit(24)), c["range"] == c["r"])
+    here = F.struct(c["range"].alias("to"), F.lit(0).alias("guest"))
+    guest = F.struct(c["before"].alias("to"), F.lit(1).alias("guest"))
+    # of rows with the least id of a range, all are guests: which is the next is settled by the order there
+    places = F.when(me.eqNullSafe(c["first"]), F.array(here, guest)).otherwise(F.array(here))
+    rows = rows.select(*[F.col(f"`{x}`") for x in docs.columns], F.explode(places).alias(names["places"]))
+    rows = rows.withColumns({names["range"]: c["places"]["to"], names["guest"]: c["places"]["guest"]}).drop(names["places"])
+    rows = carry(rows.repartitionByRange(names["range"]))
+    sequel = F.struct(text.alias("text"), *[F.col(f"`{x}`") for x in ahead])
+    step = Window.partitionBy(names["range"]).orderBy(names["guest"], me.asc_nulls_first(), F.xxhash64(text), text)
+    return rows.withColumn(next_col, F.lead(sequel).over(step)).where(c["guest"] == 0).drop(names["range"], names["guest"])
+
+
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: its fingerprint, that of the text whose last quarter is the beginning of the next document, and
+    how alike its own is to that and to the next document's."""
+    some = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+
+    def carry(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("units", units(F.col("text"))).withColumn("fp", _bound(F.col("units"), anchors))
+
+    rows = with_next(some, carry, ("fp",))
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
-    rows = rows.withColumn("edited", edited).withColumn("edited_fp", fingerprint(F.col("edited")))
+    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next.text", F.lit(1), cut))
+    rows = rows.withColumn("edited", edited)
+    rows = rows.withColumn("edited_fp", fingerprint_of_edit(F.col("fp"), F.col("units"), units(F.col("edited"))))
     return rows.select(
-        "doc_id",
+        F.col("doc_id").alias(id_col),
         n.cast("bigint").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("fp")).alias("fingerprint"),
         as_text(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        likeness(F.col("fp"), F.col("next.fp")).alias("near_next"),
     )
+
+
+def op4(spark, sf_dir: str) -> DataFrame:
+    return fingerprints(common.table(spark, sf_dir, "documents"))
