@@ -43,7 +43,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _sized(pii.with_surrogates(docs))
+    return _sized(pii.with_surrogates(docs, key=pii.checked_key(docs, pii.session_key(spark))))
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -147,61 +147,6 @@ def test_components(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 150: 100, 200: 100}
 
 
-# 4 syncmers
-
-
-def test_fingerprints(spark):
-    rng = random.Random(5)
-    words = [f"w{rng.randrange(4000)}" for _ in range(900)]
-    text, other = " ".join(words), " ".join(f"v{rng.randrange(4000)}" for _ in range(900))
-    moved = " ".join([f"u{i}" for i in range(40)] + words)
-    df = frame(spark, [(1, text), (2, text), (3, moved), (4, other), (5, ""), (6, "short text"), (7, "日" * 900)])
-    fp = df.withColumn("fp", syncmers.fingerprint(F.col("text"))).withColumn("s", syncmers.as_text(F.col("fp")))
-    pairs = fp.alias("a").join(fp.alias("b"), F.lit(True)).select(
-        F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), syncmers.likeness(F.col("a.fp"), F.col("b.fp")).alias("x"),
-        F.col("a.s").alias("s"),
-    )
-    got = {(r.a, r.b): r for r in pairs.collect()}
-    assert got[1, 2].x == 1 and got[1, 2].s == got[2, 1].s and got[1, 3].x > 0.9 and got[1, 4].x < 0.05
-    assert got[5, 5].x == 1 and got[5, 1].x == 0 and got[5, 5].s == "" and got[6, 6].x == 1 and got[7, 7].x == 1
-
-
-def brute_anchors(units, k, s):
-    """Places of closed syncmers, by the definition, over given hashes."""
-    inner = [hash(tuple(units[i : i + s])) for i in range(len(units) - s + 1)]
-    w = k - s + 1
-    return [i for i in range(len(units) - k + 1) if min(inner[i : i + w]) in (inner[i], inner[i + w - 1])]
-
-
-def test_anchors_are_context_free_and_dense(spark):
-    rng = random.Random(9)
-    units = [rng.choice("abcdefgh") + str(rng.randrange(99)) for _ in range(400)]
-    df = spark.createDataFrame([(units,), (units[100:300],)], "u array<string>").coalesce(1)
-    a, b = (r[0] for r in df.select(syncmers.anchors(F.col("u"), 12, 2)).collect())
-    inside = [(x.at - 100, x.hash) for x in a if 100 <= x.at <= 300 - 12]
-    assert inside == [(x.at, x.hash) for x in b]
-    assert all(q.at - p.at <= 11 for p, q in zip(a, a[1:]))
-    assert len(a) == pytest.approx(len(brute_anchors(units, 12, 2)), rel=0.5)  # 2 of 11 on average
-
-
-def test_next_rows(spark):
-    rows = [(i * 7 % 1000, f"t{i}") for i in range(300)] + [(None, "n"), (2000, "dup b"), (2000, "dup a"), (10**12, None)]
-    df = frame(spark, rows).withColumn("text", F.coalesce("text", F.lit("")))
-    old = syncmers.ROWS_PER_RANGE
-    try:
-        for per in (old, 5):
-            syncmers.ROWS_PER_RANGE = per
-            got = {(r.doc_id, r.text): r.next_text for r in syncmers.with_next(df, "doc_id", ["doc_id", "text"], lambda d: d).collect()}
-            order = sorted(((-1 if i is None else i), t or "", i) for i, t in rows)
-            want = {(o[2], o[1]): order[(k + 1) % len(order)][1] for k, o in enumerate(order)}
-            assert got == want
-    finally:
-        syncmers.ROWS_PER_RANGE = old
-    one = syncmers.with_next(frame(spark, [(3, "a")]), "doc_id", ["doc_id", "text"], lambda d: d).collect()
-    assert [(r.text, r.next_text) for r in one] == [("a", "a")]
-    assert syncmers.with_next(frame(spark, []), "doc_id", ["doc_id", "text"], lambda d: d).count() == 0
-
-
 # 5 secrets
 
 SECRET = 'password = "hunter2hunter2hunter2"'
@@ -474,7 +419,7 @@ def luhn(s):
 def test_surrogates(spark):
     text = " | ".join(ENTITIES)
     df = frame(spark, [(1, text), (2, f"again {ENTITIES[0].upper()} and {ENTITIES[0]}."), (3, "Version 2.0. 300.1.1.1 plain"), *[(i + 100, t) for i, t in ODD if i]])
-    out = {r.doc_id: r for r in pii.with_surrogates(df, count_col="n").collect()}
+    out = {r.doc_id: r for r in pii.with_surrogates(df, key="k", count_col="n").collect()}
     new = out[1].text.split(" | ")
     assert out[1].n == len(ENTITIES) and all(a != b for a, b in zip(ENTITIES, new))
     shape = lambda s: "".join("9" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for c in s)
@@ -492,7 +437,7 @@ def test_surrogates(spark):
 def test_long_runs(spark):
     rows = [(1, "a@" + "b." * 30000), (2, "z" * 50000 + "@"), (3, "1" * 50000), (4, "+1 " * 20000), (5, "Maria " * 9000), (6, "y" * 50000)]
     df = frame(spark, rows)
-    out = {r.doc_id: r.text for r in pii.with_surrogates(df).collect()}
+    out = {r.doc_id: r.text for r in pii.with_surrogates(df, key="k").collect()}
     assert all(len(out[i]) == len(t) for i, t in rows if i != 5) and len(out) == 6
     fp = df.select(syncmers.as_text(syncmers.fingerprint(F.col("text"))).alias("s")).collect()
     assert all(r.s for r in fp)
@@ -503,8 +448,8 @@ def test_surrogates_stay_distinct(spark):
     rows = [(i, f"{i:010d}@h{i % 3}.example.com +1 ({200 + i % 700}) 555-{i:04d} 10.0.{i // 256}.{i % 256}") for i in range(1500)]
     rows += [(9000 + i, f"a{c}@b.co") for i, c in enumerate("abcdefghij0123456789")]
     df = frame(spark, rows)
-    assert pii.collisions(df).count() == 0
-    out = pii.with_surrogates(df).collect()
+    assert pii.collisions(df, key="k").count() == 0
+    out = pii.with_surrogates(df, key="k").collect()
     assert len({r.text for r in out}) == len(rows)
 
 
