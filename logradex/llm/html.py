@@ -435,7 +435,8 @@ def winners(votes: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
 
     Of the paths of whole pages (the html or body element) none wins beside others: they hold what the others leave.
     """
-    counts = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if("first").alias("pages"))
+    # used twice: without the checkpoint, pages would be parsed for each use
+    counts = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if("first").alias("pages")).checkpoint()
     total = counts.groupBy("host").agg(F.sum("pages").alias("total"))
     top = counts.join(total, "host").where(F.col("n") >= min_share * F.col("total"))
     whole = F.col("path").rlike(r"^(>html[^>]*)?(>body[^>]*)?$")
