@@ -9,8 +9,12 @@ The histogram has one row per length that occurs, far fewer than documents, but
 suffix sums run in two levels, within buckets of ``BUCKET`` lengths and over the totals
 of the buckets, so no task holds all lengths.
 
+Texts are encoded once: the histogram is checkpointed before its two levels are summed.
+
 Edge cases: null and empty text has length 0; a null group is a group of its own; an
-empty table has an empty histogram.
+empty table has an empty histogram; repeated rows count each; very long texts are encoded
+whole; columns of any other name play no part, and key columns may have any name but those of
+the result.
 """
 
 from __future__ import annotations
@@ -38,30 +42,33 @@ def token_lengths(docs: DataFrame, path: str, pattern: str, *, keys: list[str],
 
 
 def histogram(lengths: DataFrame, keys: list[str]) -> DataFrame:
-    return lengths.groupBy(*keys, "n_tokens").agg(F.count("*").alias("n_docs"))
+    """Documents by group and length, written down, so that what follows doesn't encode again."""
+    return lengths.groupBy(*[F.col(f"`{k}`") for k in keys], "n_tokens").agg(F.count("*").alias("n_docs")).checkpoint()
 
 
 def suffix_sums(hist: DataFrame, keys: list[str]) -> DataFrame:
     """Per group and length L: documents and tokens at L, at L or more, the tokens left after cutting
     at L, and the share of documents that are no longer than L (so each quantile is a lookup)."""
-    h = hist.withColumn("bucket", F.floor(F.col("n_tokens") / BUCKET)).withColumn(
-        "tokens", F.col("n_docs") * F.col("n_tokens")
-    )
-    inner = Window.partitionBy(*keys, "bucket").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, 0)
-    above = Window.partitionBy(*keys).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    totals = h.groupBy(*keys, "bucket").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
+    own = [f"key_{i}" for i in range(len(keys))]
+    h = hist.select(
+        *[F.col(f"`{k}`").alias(o) for k, o in zip(keys, own)], "n_tokens", "n_docs",
+        F.floor(F.col("n_tokens") / BUCKET).alias("bucket"), (F.col("n_docs") * F.col("n_tokens")).alias("tokens"),
+    )
+    inner = Window.partitionBy(*own, "bucket").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, 0)
+    above = Window.partitionBy(*own).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*own)
+    totals = h.groupBy(*own, "bucket").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     totals = totals.select(
-        *[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)],
-        F.col("bucket").alias("key_bucket"),
+        *[F.col(o).alias(f"of_{o}") for o in own],
+        F.col("bucket").alias("of_bucket"),
         F.coalesce(F.sum("d").over(above), F.lit(0)).alias("docs_above"),
         F.coalesce(F.sum("t").over(above), F.lit(0)).alias("tokens_above"),
         F.sum("d").over(whole).alias("docs_all"),
         F.sum("t").over(whole).alias("tokens_all"),
     )
-    on = F.col("bucket") == F.col("key_bucket")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"key_{i}"))
+    on = F.col("bucket") == F.col("of_bucket")
+    for o in own:
+        on = on & F.col(o).eqNullSafe(F.col(f"of_{o}"))
     out = (
         h.withColumn("docs_in", F.sum("n_docs").over(inner))
         .withColumn("tokens_in", F.sum("tokens").over(inner))
@@ -69,7 +76,7 @@ def suffix_sums(hist: DataFrame, keys: list[str]) -> DataFrame:
     )
     ge, tokens_ge = F.col("docs_in") + F.col("docs_above"), F.col("tokens_in") + F.col("tokens_above")
     return out.select(
-        *keys,
+        *[F.col(o).alias(k) for k, o in zip(keys, own)],
         "n_tokens",
         "n_docs",
         F.col("tokens").alias("tokens_at"),

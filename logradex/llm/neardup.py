@@ -27,7 +27,9 @@ How it stays linear:
 
 Edge cases: null or wordless text has an empty set, which is linked with nothing and is
 its own component; fewer words than a shingle form one shingle; rows that share an id
-count as one document; a null id is a component of its own (null) and is kept.
+count as one document; a null id is a component of its own (null) and is kept, whatever its
+text; of equal texts the smallest id stays; very long texts are read whole; an empty table gives
+an empty result; columns of any other name stay as they are.
 """
 
 from __future__ import annotations
@@ -50,7 +52,6 @@ FINE_COORDINATES = 512
 POSTED = 10
 MISS = 2e-7
 HOT = 4000
-MAX_BROADCAST_IDS = 2_000_000
 CACHED_HASHES = 2_000_000
 
 
@@ -88,7 +89,7 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     w = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, n)
     size = min(words, n)
-    h = np.full(n - size + 1, np.uint64(size) * _C[63], np.uint64)
+    h = np.full(n - size + 1, size * int(_C[63]) & 0xFFFFFFFFFFFFFFFF, np.uint64)
     for i in range(size):
         h += w[i : n - size + 1 + i] * _C[i % 63]
         if size > 1:
@@ -249,7 +250,7 @@ def _candidates(lists: DataFrame, head: list[str], step: Callable, kind: str) ->
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) of the ids given; only those ids move if there are few enough, else texts are shuffled."""
+    """(id, text) of the ids given; only those ids move if they are few bytes, else texts are shuffled."""
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return texts.join(_few(ids), "id", "left_semi")
 
@@ -267,10 +268,19 @@ def fine_sketches(texts: DataFrame, words: int) -> DataFrame:
 
 def confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = texts_of(docs, ids, id_col, text_col).checkpoint()
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    ends = ends.groupBy("id").agg(F.count("*").alias("n")).checkpoint()
+    texts = texts_of(docs, ends.select("id"), id_col, text_col).checkpoint()
+    n_a, n_b = (ends.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
+    # the text of the document with fewer pairs moves with each of them; that of the other, which can have any
+    # number, moves once, to where its pairs meet
+    a_moves = F.col("n_a") <= F.col("n_b")
+    ways = pairs.select("a", "b").join(n_a, "a").join(n_b, "b").select(
+        "a", "b", F.when(a_moves, F.col("a")).otherwise(F.col("b")).alias("leaf"),
+        F.when(a_moves, F.col("b")).otherwise(F.col("a")).alias("hub"),
+    )
+    both = ways.join(texts.select(F.col("id").alias("leaf"), F.col("text").alias("text_leaf")), "leaf").join(
+        texts.select(F.col("id").alias("hub"), F.col("text").alias("text_hub")), "hub"
     )
     kind = pairs.schema["a"].dataType.simpleString()
 
@@ -299,7 +309,8 @@ def confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words
                     keep.append(100 * inter >= percent * (len(s) + len(t) - inter))
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    out = both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
+    out = both.select("leaf", "hub", "text_leaf", "text_hub").mapInArrow(run, f"a {kind}, b {kind}")
+    out = out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return out.distinct().checkpoint()
 
 
@@ -381,14 +392,15 @@ def clusters(
 
     groups = copies.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("root"))
     return sig.join(groups, "set_key", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+        F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"),
     )
 
 
 def _few(ids: DataFrame) -> DataFrame:
-    """Broadcast a column of ids if there are few enough."""
+    """Broadcast a column of ids if its bytes are few enough."""
     ids = ids.checkpoint()
-    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+    return common.broadcast_if_small(ids, F.octet_length(F.col(ids.columns[0]).cast("string")))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 80):
@@ -410,7 +422,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def op3(spark, sf_dir: str) -> DataFrame:
     out = clusters(common.table(spark, sf_dir, "documents"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 SQL = r"""

@@ -82,6 +82,18 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judge(df, []).collect()} == {"allow"}
 
 
+def test_urls_of_odd_rows(spark):
+    long = "http://a.com/en/" + "x" * 200_000
+    rows = [(1, long, "h", "r"), (1, long, "h", "r"), (None, "http://" + "a." * 50_000 + "com/en/", None, None), (2, None, "", "")]
+    out = urls.judge(frame(spark, rows, "page_id long, url string, host string, rule string"), urls.RULES)
+    assert out.columns == ["page_id", "host", "path", "rule", "verdict"]
+    assert [r.verdict for r in out.orderBy("page_id").collect()] == ["block", "block", "block", "allow"]
+    assert urls.judge(frame(spark, [], "page_id long, url string"), urls.RULES).count() == 0
+    tie = [("allow", "b.com/x"), ("block", "b.com/x"), ("allow", "com/xxx"), ("allow", "c.com/x")]
+    one = urls.judge(frame(spark, [(1, "http://a.b.com/xxx/")], "page_id long, url string"), tie).first()
+    assert (one.rule, one.verdict) == ("b.com/x", "block")  # of one length, what blocks
+
+
 # 3 near duplicates
 
 
@@ -141,6 +153,21 @@ def test_near_duplicates_of_odd_rows(spark):
     assert neardup.clusters(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_with_null_ids(spark):
+    rows = [(None, "a b c d e"), (3, "a b c d e"), (2, "a b c d e"), (None, "a b c d e"), (None, "other words are in this one")]
+    df = frame(spark, rows)
+    out = neardup.clusters(df).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in out) == [(0, 0, True)] * 3 + [(2, 2, True), (3, 2, False)]
+    assert sorted(r.doc_id or 0 for r in neardup.keep_one(df).collect()) == [0, 0, 0, 2]
+
+
+def test_near_duplicates_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(common, "MAX_BROADCAST", 0)
+    rows = near_rows(8)
+    got = neardup.clusters(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_clusters(rows, 4)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.node: r.component for r in components.components(frame(spark, edges, "a long, b long")).collect()}
@@ -207,6 +234,32 @@ def test_length_histogram(spark):
         assert r.q0_5 == sorted(x for g, x in n if g == r.g)[29]
 
 
+def test_op6_agrees_with_the_library(spark):
+    sf = "/root/testdata/sf0.001"
+    one = bpe.codec(*bpe.public_vocabulary()).single
+    n = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        n.setdefault(r.lang, []).append(len(one.encode_ordinary(r.text or "")))
+    seen = set()
+    for r in lengths.op6(spark, sf).collect():
+        mine = n[r.lang]
+        seen.add((r.lang, r.n_tokens))
+        assert (r.n_docs, r.tokens_at) == (mine.count(r.n_tokens), mine.count(r.n_tokens) * r.n_tokens)
+        assert (r.docs_ge, r.tokens_ge) == (sum(x >= r.n_tokens for x in mine), sum(x for x in mine if x >= r.n_tokens))
+        assert (r.truncated_total, r.docs_all, r.tokens_all) == (sum(min(x, r.n_tokens) for x in mine), len(mine), sum(mine))
+    assert seen == {(k, x) for k, v in n.items() for x in v}
+
+
+def test_token_counts_of_odd_rows(spark):
+    wide = frame(spark, [(i, t, f"g{k % 2}" if k % 3 else None, k) for k, (i, t) in enumerate(ODD)], DOC + ", bucket string, tokens int")
+    path, pattern = bpe.public_vocabulary()
+    for keys in (["bucket"], ["tokens", "bucket"], []):
+        sums = lengths.suffix_sums(lengths.histogram(lengths.token_lengths(wide, path, pattern, keys=keys), keys), keys)
+        assert sums.columns[: len(keys)] == keys and sum(r.n_docs for r in sums.collect()) == len(ODD)
+    none = lengths.token_lengths(frame(spark, []), path, pattern, keys=["doc_id"])
+    assert lengths.suffix_sums(lengths.histogram(none, ["doc_id"]), ["doc_id"]).count() == 0
+
+
 # 7 decontamination
 
 ITEMS = [("10", "the quick brown fox jumps over the lazy dog again and again"), ("9", "Tiny item"), ("x", "one"), ("n", None), ("e", "..."),
@@ -328,6 +381,13 @@ def test_bpe_rows(spark):
         bpe.Codec(path, r"[a-z ]+|.")
 
 
+def test_bpe_of_an_empty_table(spark):
+    path, pattern = bpe.public_vocabulary()
+    assert bpe.digests(frame(spark, []), path, pattern).count() == bpe.tokenised(frame(spark, []), path, pattern).count() == 0
+    twice = bpe.digests(frame(spark, [(None, "a b"), (None, "a b"), (3, "a b")]), path, pattern).collect()
+    assert len(twice) == 3 and len({r.ids_sha256 for r in twice}) == 1
+
+
 # 9 quality
 
 
@@ -389,6 +449,28 @@ def test_quality_samples_are_not_halved():
     assert quality.SAMPLE_DOCS == 3000
 
 
+def test_op9_agrees_with_its_scorer_and_labels(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    one = quality.Scorer(model.form, model.civil)
+    got = {r.doc_id: r for r in quality.op9(spark, sf).collect()}
+    for r in docs.collect():
+        form, civil = one(r.text)
+        assert (got[r.doc_id].form_score, got[r.doc_id].civility_score) == (form, civil)
+        assert got[r.doc_id].kept == (form >= 0.5 and civil >= 0.5)
+
+
+def test_quality_with_odd_columns(spark):
+    rows, _ = sample_documents()
+    wide = frame(spark, [(i, t, "f", 0.5, "x" * 100) for i, t in rows[:80]] + [(None, rows[0][1], None, None, None), (999, "word. " * 60000, "", 0.0, "")],
+                 DOC + ", form string, kept double, id string")
+    out = quality.score(wide, quality.fit(wide))
+    assert out.columns == ["doc_id", "form_score", "civility_score", "kept"] and out.count() == 82
+    kept = quality.keep_good(wide)
+    assert kept.columns == wide.columns and kept.count() == sum(r.kept for r in out.collect())
+
+
 def test_weak_model_recovers_accuracies():
     rng = random.Random(1)
     counts, truth = {}, {}

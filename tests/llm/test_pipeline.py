@@ -34,3 +34,45 @@ def test_pipeline(spark):
     last = seen["byte_bpe"].collect()
     assert {r.doc_id: r.text for r in last} == want
     assert all(r.token_ids == c.single.encode_ordinary(r.text) and r.n_tokens == len(r.token_ids) for r in last)
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, row int, n_tokens int"
+
+
+def tables(spark, folder, rows, items, labels):
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id string, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline as p
+    from .test_llm import ODD, sample_documents
+
+    texts, truth = sample_documents()
+    item = " ".join(f"item{i}" for i in range(30))
+    wide = lambda i, t: (i, t, "en", "s", len(t or ""), "x", 1, 2)
+    rows = [wide(i, t) for i, t in texts] + [wide(1000 + k, t) for k, (_, t) in enumerate(ODD)] + [wide(None, None)]
+    rows += [wide(*texts[0])] * 2 + [wide(None, texts[1][1])] + [wide(5000, texts[1][1]), wide(6000, f"{texts[2][1]} {item}")]
+    folder = tables(spark, tmp_path / "a", rows, [("i", item), (None, None)], [(i, int(g), 0) for i, g in truth.items()])
+    out = p.run(spark, folder)
+    assert out.columns == [*rows_columns(), "_n_tokens", "token_ids", "ids_sha256"]
+    got = out.collect()
+    ids = [r.doc_id for r in got if r.doc_id is not None]
+    assert len(ids) == len(set(ids)) and 0 in ids and 1 in ids and 5000 not in ids
+    assert not any("item3" in r.text for r in got) and all(r.n_chars == len(r.text) and r.id == "x" for r in got)
+    assert sum(truth[i] for i in ids if i in truth) >= 0.95 * sum(truth.values())
+    for name, stage in p.STAGES:  # each takes what the first would have dropped
+        odd = spark.createDataFrame([wide(i, t) for i, t in ODD], DOCS)
+        assert stage(spark, odd, folder).count() <= len(ODD), name
+
+
+def rows_columns():
+    return [c.split()[0] for c in DOCS.split(", ")]
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline as p
+
+    assert p.run(spark, tables(spark, tmp_path / "a", [], [], [])).count() == 0
