@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +10,14 @@ from pyspark.sql import functions as F
 from .fields import ROLES, AddressFields, check_flag, check_h3
 from .functions import text
 from .functions.ambiguity import is_ambiguous
-from .functions.geo import h3_cell, point_wkt
+from .functions.geo import h3_cell, point_wkb, point_wkt
 from .operators import lookup, results, ties
 from .plans import cascade
 from .plans.steps import CL, NCL
+from .sources import checkpoints
 from .sources.gazetteer import Gazetteer, scope
 
+SRID = 4674
 STANDARD = {
     "logradouro": text.street, "numero": text.number, "cep": text.cep, "localidade": text.district,
     "municipio": text.city, "estado": text.state,
@@ -40,19 +41,12 @@ def prepared(df: DataFrame, fields: AddressFields | dict[str, str], *, standard:
     return x.withColumn("log_causa_confusao", is_ambiguous(street))
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    """A session without spark.checkpoint.dir (a notebook, a test) gets a folder of its own."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-
-
 class Geocoder:
     """Queries over one gazetteer."""
 
     def __init__(self, spark: SparkSession, gazetteer: Gazetteer) -> None:
         self.spark, self.gazetteer = spark, gazetteer
-        _checkpoints(spark)
+        checkpoints.ensure(spark)
 
     def geocode(
         self,
@@ -64,12 +58,13 @@ class Geocoder:
         keep_largest: bool = False,
         standard: bool = True,
         h3: int | list[int] | None = None,
-        geometry: bool = False,
+        geometry: bool | str = False,
     ) -> DataFrame:
         """Coordinates of addresses: the input's columns, in its order, and the results.
 
         ``complete`` adds the matched parts; without ``resolve_ties`` a row has all its candidates
-        and ``empate``; ``standard=False`` is for inputs that are standardised already.
+        and ``empate``; ``standard=False`` is for inputs that are standardised already.  ``geometry`` adds the
+        point as well-known text, or as well-known binary if it is "wkb".
         """
         for name, value in (("complete", complete), ("resolve_ties", resolve_ties), ("standard", standard)):
             check_flag(name, value)
@@ -83,15 +78,21 @@ class Geocoder:
         out = results.merge(rows, found, complete=complete, ties=not resolve_ties)
         return self._extras(out, cells, geometry)
 
-    def _extras(self, out: DataFrame, cells: list[int], geometry: bool) -> DataFrame:
+    def _extras(self, out: DataFrame, cells: list[int], geometry: bool | str) -> DataFrame:
         for res in cells:
             out = out.withColumn(f"h3_{res:02d}", h3_cell(F.col("lat"), F.col("lon"), res))
         if geometry:
-            out = out.withColumn("geometry", point_wkt(F.col("lat"), F.col("lon")), ).withMetadata("geometry", {"srid": 4674})
+            point = point_wkb if geometry == "wkb" else point_wkt
+            out = out.withColumn("geometry", point(F.col("lat"), F.col("lon"))).withMetadata("geometry", {"srid": SRID})
         return out
 
-    def reverse(self, points: DataFrame, *, metres: float = 1000, planar: bool = False) -> DataFrame:
-        """The nearest address of each point (lat, lon) within ``metres``; points without one are left out."""
+    def reverse(self, points: DataFrame, *, metres: float = 1000, planar: bool = False, srid: int = SRID) -> DataFrame:
+        """The nearest address of each point (lat, lon) within ``metres``; points without one are left out.
+
+        ``srid`` is the reference system that the points are in; it has to be that of the gazetteer.
+        """
+        if srid != SRID:
+            raise ValueError(f"points must be in the reference system {SRID}, not {srid}")
         if isinstance(metres, bool) or not 500 <= metres <= 100_000:
             raise ValueError("the distance is from 500 to 100000 metres")
         missing = [c for c in ("lat", "lon") if c not in points.columns]
@@ -102,18 +103,17 @@ class Geocoder:
         addresses = self.gazetteer(NCL)
         boxes = lookup.boxes_of(addresses, metres).checkpoint()
         places = lookup.in_boxes(rows.select("lat", "lon"), boxes).select("estado", "municipio").distinct()
-        near = lookup.nearest(rows, scope(addresses, places), metres, planar=planar)
+        near = lookup.nearest(rows, scope(addresses, places), metres, planar=planar).checkpoint()
+        if near.isEmpty():
+            raise ValueError("no point has an address within the distance")
         keep = [c for c in points.columns]
         parts = [F.col(f"a_{c}").alias(f"{c}_encontrado" if c != "localidade" else "localidade_encontrada") for c in ROLES]
-        out = near.orderBy("tempid").select(
+        return near.orderBy("tempid").select(
             *keep, *parts, F.col("a_endereco_completo").alias("endereco_completo"), F.col("a_lat").alias("lat_endereco"),
             F.col("a_lon").alias("lon_endereco"), F.round("distancia", 3).alias("distancia_metros"),
         )
-        if out.isEmpty():
-            raise ValueError("no point has an address within the distance")
-        return out
 
-    def by_cep(self, codes, *, h3: int | list[int] | None = None, geometry: bool = False) -> DataFrame:
+    def by_cep(self, codes, *, h3: int | list[int] | None = None, geometry: bool | str = False) -> DataFrame:
         """Streets of postal codes; codes that are not found are rows of nulls."""
         cells = check_h3(h3)
         return self._extras(lookup.by_cep(self.gazetteer(CL), codes), cells, geometry)

@@ -57,6 +57,24 @@ def point_wkt(lat: Column, lon: Column) -> Column:
     return F.when(lat.isNotNull() & lon.isNotNull(), F.concat(F.lit("POINT ("), lon.cast("string"), F.lit(" "), lat.cast("string"), F.lit(")")))
 
 
+def point_wkb(lat: Column, lon: Column) -> Column:
+    """The point as well-known binary (little-endian); null if a coordinate is.  Spark has no function for the bytes of
+    a double, so this is an Arrow UDF over whole batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    def batch(y: pa.Array, x: pa.Array) -> pa.Array:
+        out = np.zeros((len(y), 21), np.uint8)
+        out[:, 0] = out[:, 1] = 1
+        for at, c in ((5, x), (13, y)):
+            out[:, at : at + 8] = c.fill_null(0.0).to_numpy().astype("<f8").view(np.uint8).reshape(-1, 8)
+        missing = ~(y.is_valid().to_numpy(zero_copy_only=False) & x.is_valid().to_numpy(zero_copy_only=False))
+        raw = out.tobytes()
+        return pa.array([None if m else raw[i * 21 : i * 21 + 21] for i, m in enumerate(missing.tolist())], pa.binary())
+
+    return F.arrow_udf(batch, "binary")(lat, lon)
+
+
 def h3_cell(lat: Column, lon: Column, res: int) -> Column:
     """Cell of the hexagonal grid as text, null where a coordinate is; needs the h3 package."""
     try:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import BRAZIL, EARTH_RADIUS, grid, haversine, utm
@@ -46,13 +46,21 @@ def check_points(points: DataFrame, lat: str = "lat", lon: str = "lon") -> None:
         raise ValueError("a point lies outside Brazil")
 
 
-def in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
+def in_boxes(points: DataFrame, boxes: DataFrame, cell: float = 1.0) -> DataFrame:
     """Pairs of a point (lat, lon) and a box (xmin, ymin, xmax, ymax) that holds it.
 
-    Boxes are one per municipality, some thousands; they are broadcast.
+    Boxes are spread over the cells of a grid (in degrees) that they touch, and meet the points of each cell:
+    an equi-join, whose build side Spark chooses by its size.
     """
+
+    def span(low: str, high: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
+
+    some = boxes.where("xmin <= xmax and ymin <= ymax")
+    spread = some.withColumn("_x", span("xmin", "xmax")).withColumn("_y", span("ymin", "ymax"))
+    here = points.withColumn("_x", F.floor(F.col("lon") / cell)).withColumn("_y", F.floor(F.col("lat") / cell))
     inside = F.col("lon").between(F.col("xmin"), F.col("xmax")) & F.col("lat").between(F.col("ymin"), F.col("ymax"))
-    return points.join(F.broadcast(boxes), inside)
+    return here.join(spread, ["_x", "_y"]).where(inside).drop("_x", "_y")
 
 
 def boxes_of(addresses: DataFrame, pad_metres: float = 0.0) -> DataFrame:
@@ -90,7 +98,12 @@ def _distance(planar: bool) -> Column:
 
 
 def nearest(points: DataFrame, addresses: DataFrame, metres: float, *, planar: bool = False) -> DataFrame:
-    """The nearest address of each point within ``metres``; points without one are left out."""
-    order = Window.partitionBy("tempid").orderBy("distancia", "a_endereco_completo", "a_lat", "a_lon")
+    """The nearest address of each point within ``metres``; points without one are left out.
+
+    A point's pairs are reduced before they move, however many addresses are near it.
+    """
     pairs = within(points, addresses, metres, planar=planar)
-    return pairs.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
+    rest = [c for c in pairs.columns if c != "tempid"]
+    order = F.struct("distancia", F.col("a_endereco_completo").isNull(), "a_endereco_completo", "a_lat", "a_lon")
+    best = pairs.groupBy("tempid").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), order).alias("_best"))
+    return best.select("tempid", *[F.col(f"_best.`{c}`").alias(c) for c in rest])

@@ -85,7 +85,7 @@ def _interpolated(j: DataFrame, step: MatchStep) -> DataFrame:
         exact = F.avg(F.when(F.col("gap") == 0, F.col(c)))
         return F.when(hit, exact).otherwise(F.try_divide(F.sum(F.col("w") * F.col(c)), F.sum("w")))
 
-    rank = F.struct("g_n_casos", -F.col("gap"), "g_endereco_completo")
+    rank = F.struct("g_n_casos", -F.col("gap"), "g_endereco_completo", "g_lat", "g_lon", F.coalesce("g_cod_setor", F.lit("")))
     pick = lambda c: F.max_by(c, rank)
     parts = [c for c in j.columns if c in {f"g_{r}" for r in ROLES}]
     out = j.groupBy("tempid", "label").agg(
@@ -130,7 +130,8 @@ def street_matches(x: DataFrame, tables: Callable[[str], DataFrame], attempts: I
 
     Inputs with an ambiguous street, or without one of a step's keys, aren't compared.  Steps
     that share blocking keys, dictionary and cutoff share one comparison; all comparisons run
-    as one plan, over distinct pairs of streets whose lengths allow the cutoff.
+    as one plan, over pairs of streets whose lengths allow the cutoff.  A pair that occurs in many blocks
+    isn't shuffled to be told apart: each batch compares its distinct pairs once.
     """
     kinds: dict[tuple, list[MatchStep]] = {}
     for step in attempts:
@@ -150,11 +151,10 @@ def street_matches(x: DataFrame, tables: Callable[[str], DataFrame], attempts: I
         asked.append(rows)
         pairs.append(both.select("kind", F.lit(cutoff).alias("cutoff"), *parts, "logradouro", "street"))
     every, wanted = reduce(DataFrame.unionByName, pairs), reduce(DataFrame.unionByName, asked)
-    names = every.groupBy("logradouro", "street").agg(F.min("cutoff").alias("least"))
-    names = names.withColumn("similarity", jaro_similarity(F.col("logradouro"), F.col("street")).cast("decimal(5,3)"))
-    names = names.where(F.col("similarity") > F.col("least").cast("decimal(5,3)")).drop("least")
     key = ["kind", *BLOCK, "logradouro"]
-    found = every.join(names, ["logradouro", "street"]).where(F.col("similarity") > F.col("cutoff").cast("decimal(5,3)"))
+    least = min(cutoff for _, _, cutoff in kinds)
+    same = jaro_similarity(F.col("logradouro"), F.col("street"), least - 0.001).cast("decimal(5,3)")
+    found = every.withColumn("similarity", same).where(F.col("similarity") > F.col("cutoff").cast("decimal(5,3)"))
     top = found.groupBy(*key).agg(F.min(F.struct((-F.col("similarity")).alias("s"), "street")).alias("best"))
     top = top.select(*[F.col(k).alias(f"t_{k}") for k in key], "best")
     on = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"t_{k}")) for k in key])

@@ -43,15 +43,17 @@ def distances(candidates: DataFrame, *, keep_largest: bool = False) -> DataFrame
 def survivors(candidates: DataFrame, *, keep_largest: bool = False) -> DataFrame:
     """Without candidates that have another within 300 m; with the class of the row.
 
-    ``classe``: sem_empate (one candidate is left), perdidos (far apart or ambiguous: the one of
-    most records stands for them) or salvos (their mean does).
+    ``classe``: sem_empate (one candidate is left), perdidos (some are lost: the one of most records
+    among these stands for them) or salvos (their mean does).  A candidate is lost (``_lost``) if the row's are
+    far apart or its street ambiguous, unless the matched street is named after a date.
     """
     w = Window.partitionBy("tempid")
     kept = distances(candidates, keep_largest=keep_largest).where(F.col("dist").isNull() | (F.col("dist") > NEAR))
     kept = kept.withColumn("empate", F.count("*").over(w) > 1).withColumn("max_dist", F.max("dist").over(w))
-    street = F.col("logradouro_encontrado")
-    vague = F.col("log_causa_confusao") | F.coalesce(street.rlike(SPELLED_HIGH) & ~street.rlike(DATED), F.lit(False))
-    lost = (F.coalesce(F.col("max_dist"), F.lit(0.0)) > FAR) | F.max(vague).over(w)
+    dated = F.coalesce(F.col("logradouro_encontrado").rlike(DATED), F.lit(False))
+    vague = F.col("log_causa_confusao") | F.coalesce(F.col("endereco_encontrado").rlike(SPELLED_HIGH), F.lit(False))
+    kept = kept.withColumn("_lost", ((F.coalesce(F.col("max_dist"), F.lit(0.0)) > FAR) | vague) & ~dated)
+    lost = F.max("_lost").over(w)
     return kept.withColumn(
         "classe", F.when(~F.col("empate"), "sem_empate").when(lost, "perdidos").otherwise("salvos")
     )
@@ -63,7 +65,8 @@ def resolve(candidates: DataFrame, *, keep_largest: bool = False) -> DataFrame:
     ``keep_largest`` keeps, of candidates within 300 m of each other, the one of most records;
     otherwise the last in the order of records stays.
     """
-    top = Window.partitionBy("tempid").orderBy(*_order(False))
+    lost = F.when(F.col("classe") == "perdidos", F.col("_lost")).otherwise(False)
+    top = Window.partitionBy("tempid").orderBy(lost.desc(), *_order(False))
     whole = Window.partitionBy("tempid")
     rows = survivors(candidates, keep_largest=keep_largest)
     n = F.sum("contagem_cnefe").over(whole)
@@ -74,4 +77,4 @@ def resolve(candidates: DataFrame, *, keep_largest: bool = False) -> DataFrame:
 
     rows = rows.withColumn("_k", F.row_number().over(top)).withColumn("_lat", mean("lat")).withColumn("_lon", mean("lon"))
     rows = rows.where("_k = 1").withColumn("lat", F.col("_lat")).withColumn("lon", F.col("_lon"))
-    return rows.drop("_k", "_lat", "_lon", "dist", "max_dist", "classe")
+    return rows.drop("_k", "_lat", "_lon", "_lost", "dist", "max_dist", "classe")

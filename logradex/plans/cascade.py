@@ -1,8 +1,10 @@
 """The cascade of match steps.
 
 A row's result is the candidates of the first step that has any for it, and no row's
-result depends on another row's.  ``rank_union`` says just that; ``staged`` gives the same
-rows but keeps settled rows out of the looser (and larger) joins that follow.
+result depends on another row's.  ``rank_union`` says just that.  ``settle`` gives the same rows,
+but looks for each row's first step by keys alone, counted together before they move, and then makes
+candidates for that step only; ``staged`` does so group by group, and keeps settled rows out of
+the looser joins that follow.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.matching import CANDIDATE, match, street_matches
+from ..operators.matching import CANDIDATE, have_keys, match, street_matches
 from .steps import ATTEMPTS, STEPS, MatchStep
 
 Tables = Callable[[str], DataFrame]
@@ -87,11 +89,40 @@ def rank_union(x: DataFrame, tables: Tables, steps: Iterable[MatchStep] = STEPS)
     return first_step(_union([_candidates(x, tables, s) for s in steps]))
 
 
-def staged(x: DataFrame, tables: Tables, steps: Iterable[MatchStep] = STEPS) -> DataFrame:
-    """Group after group of steps; rows that a group settles leave before the next.
+def _hits(x: DataFrame, tables: Tables, step: MatchStep) -> DataFrame:
+    """(tempid, ordem) for each match of a step, which reads nothing of the table but its keys."""
+    street = F.col("logradouro")
+    if step.fuzzy:
+        x, street = x.where(F.col("_since") <= step.order), F.col("temp_lograd_determ")
+    keys = step.join_keys
+    x = have_keys(x, step, "temp_lograd_determ" if step.fuzzy else "logradouro")
+    x = x.select("tempid", *[(street if k == "logradouro" else F.col(k)).alias(k) for k in keys])
+    g = tables(step.table)
+    if step.interpolated:
+        g = g.where("numero is not null")
+    return x.join(g.select(*keys), list(keys)).select("tempid", F.lit(step.order).alias("ordem"))
+
 
-    Each group's input is checkpointed, which cuts the lineage and survives lost executors.
+def settle(x: DataFrame, tables: Tables, now: Iterable[MatchStep]) -> tuple[DataFrame, DataFrame]:
+    """Candidates of each row's first step of these, and the rows that have none.
+
+    The rows with their step are checkpointed, which cuts the lineage and survives lost executors.
     """
+    now = list(now)
+    first = _union([_hits(x, tables, s) for s in now]).groupBy("tempid").agg(F.min("ordem").alias("_ordem"))
+    rows = x.join(first, "tempid", "left").checkpoint()
+    found = [_candidates(rows.where(F.col("_ordem") == s.order).drop("_ordem"), tables, s) for s in now]
+    return _union(found), rows.where("_ordem is null").drop("_ordem")
+
+
+def at_once(x: DataFrame, tables: Tables, steps: Iterable[MatchStep] = STEPS) -> DataFrame:
+    """The same as ``rank_union``, by ``settle``."""
+    steps = applicable(x, steps)
+    return settle(attach_streets(x, tables, [s for s in ATTEMPTS if s in steps]), tables, steps)[0]
+
+
+def staged(x: DataFrame, tables: Tables, steps: Iterable[MatchStep] = STEPS) -> DataFrame:
+    """Group after group of steps; rows that a group settles leave before the next."""
     steps = applicable(x, steps)
     codes = {s.code: s for s in steps}
     attempts = [s for s in ATTEMPTS if s in steps]
@@ -100,12 +131,10 @@ def staged(x: DataFrame, tables: Tables, steps: Iterable[MatchStep] = STEPS) ->
     out = []
     for number, now in enumerate(groups):
         if not compared and any(s.fuzzy for s in now):  # what a comparison finds stays, so all run here
-            left = attach_streets(x.join(left.select("tempid"), "tempid", "left_semi"), tables, attempts).checkpoint()
-            compared = True
-        result = first_step(_union([_candidates(left, tables, s) for s in now])).checkpoint()
-        out.append(result)
-        if number < len(groups) - 1:
-            left = left.join(result.select("tempid").distinct(), "tempid", "left_anti").checkpoint()
-            if left.isEmpty():
-                break
+            left = left.drop("temp_lograd_determ", "similaridade_logradouro", "_since")
+            left, compared = attach_streets(left, tables, attempts).checkpoint(), True
+        found, left = settle(left, tables, now)
+        out.append(found)
+        if number < len(groups) - 1 and left.isEmpty():
+            break
     return _union(out)

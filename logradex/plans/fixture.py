@@ -73,9 +73,16 @@ def finest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FINEST)
 
 
+_BUILT: dict[tuple[str, str], DataFrame] = {}
+
+
 def gazetteer(spark: SparkSession, sf_dir: str) -> Gazetteer:
-    """The finest table is shared by the others: it is built once, and each of them for all its steps."""
-    g = from_finest(finest(spark, sf_dir).checkpoint())
+    """The finest table is shared by the others: it is built and checkpointed once in a session, and each of
+    them is kept for all its steps."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _BUILT:
+        _BUILT[key] = finest(spark, sf_dir).checkpoint()
+    g = from_finest(_BUILT[key])
     return Gazetteer({n: t.persist() for n, t in g.tables.items()})
 
 

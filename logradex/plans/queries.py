@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from ..api import prepared
 from ..functions import text
-from ..functions.ambiguity import CODED, DATED, SPELLED, SPELLED_HIGH, is_ambiguous
+from ..functions.ambiguity import is_ambiguous
 from ..functions.geo import haversine, point_wkt, utm
 from ..functions.similarity import jaro_similarity
 from ..operators import lookup, results, ties
-from ..operators.matching import match, street_dictionary, street_matches
-from ..sources.gazetteer import scope, trimmed
+from ..operators.matching import FOUND, match, street_dictionary, street_matches
+from ..operators.blocks import balanced
+from ..sources import checkpoints
+from ..sources.gazetteer import Gazetteer, scope, trimmed
 from . import cascade, fixture
 from .steps import ATTEMPTS, CL, NCL, STEP, STEPS, L, MatchStep
 
@@ -27,9 +29,7 @@ SQL: dict[str, str] = {}
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            sc = spark.sparkContext
-            if sc._jsc.sc().getCheckpointDir().isEmpty():
-                sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+            checkpoints.ensure(spark)
             return f(spark, sf_dir)
 
         QUERIES[name] = run
@@ -48,14 +48,18 @@ _SHORT = dict(zip([NCL, "municipio_logradouro_numero_localidade", CL, L, "munici
                    "municipio_localidade", "municipio"], _KEYS))
 
 
-def _p(pattern: str) -> str:
-    return pattern.replace("'", "''")
-
-
+# these rules are written out here on their own, so that an error in the code's patterns shows
+_MONTH = (
+    r"list_has_any(regexp_extract_all({}, '\bDE ([A-Z]+)\b', 1), ['ABRIL', 'AGOSTO', 'DEZEMBRO', 'FEVEREIRO', 'JANEIRO', 'JULHO',"
+    r" 'JUNHO', 'MAIO', 'MARCO', 'NOVEMBRO', 'OUTUBRO', 'SETEMBRO'])"
+)
 _FLAG = (
-    f"(coalesce((regexp_matches(logradouro, '{_p(CODED)}') OR regexp_matches(logradouro, '{_p(SPELLED)}'))"
-    f" AND NOT regexp_matches(logradouro, '{_p(DATED)}'), false))"
+    r"(coalesce((regexp_full_match(logradouro, '(AVENIDA|BECO|BLOCO|ESTRADA|RAMAL|RODOVIA|RUA|TRAVESSA)\s+"
+    r"(\d{1,3}(-?[A-Z]{1,2})?|[A-Z]{1,2}(-|-?\d{1,3}|\s+\d{1,3})?)(\s+KM|\s+KM \d+)?')"
+    r" OR regexp_extract(logradouro, 'RUA ([A-Z]+)$', 1) IN ('CINCO', 'DEZ', 'DOIS', 'DOZE', 'NOVE', 'OITO', 'ONZE', 'SEIS', 'SETE',"
+    r" 'TRES', 'TREZE', 'UM')) AND NOT " + _MONTH.format("logradouro") + ", false))"
 )
+_TENS = "|".join(sorted("QUINZE QUATRO QUATORZE QUARENTA VINTE TRINTA CINQUENTA SESSENTA SETENTA OITENTA NOVENTA".split() + ["DEZE(SSEIS|SSETE|NOVE)", "DEZOITO"]))
 
 
 def _with(tables: set[str], *more: str) -> str:
@@ -73,18 +77,26 @@ def _step_sql(step: MatchStep, source: str | None = None) -> str:
     street = "x.street" if step.fuzzy else "x.logradouro"
     on = " AND ".join(f"{street if k == 'logradouro' else 'x.' + k} = g.{k}" for k in step.join_keys)
     some = " AND ".join(f"{street if k == 'logradouro' else 'x.' + k} IS NOT NULL" for k in step.keys)
-    found = "g.logradouro" if "logradouro" in step.keys else "NULL::varchar"
+    parts = {n: f"g.{r}" if r in step.keys else "NULL::int" if r == "numero" else "NULL::varchar" for r, n in FOUND.items()}
     sim = "cast(x.similarity AS double)" if step.fuzzy else "NULL::double"
     head = f"SELECT x.tempid, {step.order} AS ordem, '{step.code}' AS tipo_resultado"
     if not step.interpolated:
         return f"""{head}, g.lat, g.lon, g.endereco_completo AS endereco_encontrado, g.desvio_metros,
-  x.log_causa_confusao, {found} AS logradouro_encontrado, {sim} AS similaridade_logradouro, g.n_casos AS contagem_cnefe
+  x.log_causa_confusao, {", ".join(f"{c} AS {n}" for n, c in parts.items())}, {sim} AS similaridade_logradouro, g.n_casos AS contagem_cnefe, g.cod_setor
 FROM {source} x JOIN {t} g ON {on} WHERE {some}"""
+
+    def first(c: str, name: str) -> str:
+        if c.startswith("NULL"):
+            return c
+        if name == "numero_encontrado":
+            return "any_value(x.numero)"
+        return f"first({c} ORDER BY g.n_casos DESC, gap, g.endereco_completo DESC, g.lat DESC, g.lon DESC, coalesce(g.cod_setor, '') DESC)"
+
     return f"""{head}, coalesce(avg(g.lat) FILTER (gap = 0), sum(g.lat / gap) FILTER (gap > 0) / sum(1 / gap) FILTER (gap > 0)) AS lat,
   coalesce(avg(g.lon) FILTER (gap = 0), sum(g.lon / gap) FILTER (gap > 0) / sum(1 / gap) FILTER (gap > 0)) AS lon,
   label AS endereco_encontrado, cast(round_even(avg(g.desvio_metros), 0) AS int) AS desvio_metros,
-  any_value(x.log_causa_confusao) AS log_causa_confusao, any_value(g.logradouro) AS logradouro_encontrado,
-  any_value({sim}) AS similaridade_logradouro, max(g.n_casos) AS contagem_cnefe
+  any_value(x.log_causa_confusao) AS log_causa_confusao, {", ".join(f"{first(c, n)} AS {n}" for n, c in parts.items())},
+  any_value({sim}) AS similaridade_logradouro, max(g.n_casos) AS contagem_cnefe, {first("g.cod_setor", "")} AS cod_setor
 FROM {source} x JOIN {t} g ON {on},
   LATERAL (SELECT cast(abs(x.numero - g.numero) AS double) AS gap,
     regexp_replace(g.endereco_completo, ', \\d+ -', ', ' || x.numero || ' (aprox) -') AS label)
@@ -172,7 +184,8 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREETS = [
     "RUA A", "RUA B-", "RUA 10", "RUA 10A", "RUA 10-B", "RUA AB 12", "RUA DOIS", "RUA QUATRO", "RUA TREZE", "NOVA RUA DEZ",
     "RUA 15 DE NOVEMBRO", "RUA 7 DE ABRIL", "AVENIDA BRASIL", "ESTRADA B-12 KM 3", "RODOVIA 101 KM", "BECO C 4",
-    "TRAVESSA DOS REIS", "RUA 1234", "RUA ABC", "BLOCO 3 2",
+    "TRAVESSA DOS REIS", "RUA 1234", "RUA ABC", "BLOCO 3 2", "RUA 10 20", "RUA 10A 7", "BECO A-12 KM", "BECO A-12 KM 7", "RUA 10 KM  7", "RUA UM",
+    "RUA 7 DE MAIOR", "RUA UM DE MAIO", "RUA 5 DE MARCO KM 3",
 ]
 _LITERALS = ", ".join(f"('{s}')" for s in STREETS)
 
@@ -193,11 +206,11 @@ def ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "jaro_documents",
-    "SELECT a.doc_id AS a, b.doc_id AS b, round(jaro_similarity(left(a.text, 40), left(b.text, 40)), 9) AS jaro "
+    "SELECT a.doc_id AS a, b.doc_id AS b, round(jaro_similarity(a.text, b.text), 9) AS jaro "
     "FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1",
 )
 def jaro_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.substring("text", 1, 40).alias("t"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("t"))
     b = d.select(F.col("doc_id").alias("b"), F.col("t").alias("u"))
     pairs = d.withColumnRenamed("doc_id", "a").join(b, F.col("b") == F.col("a") + 1)
     return pairs.select("a", "b", F.round(jaro_similarity(F.col("t"), F.col("u")), 9).alias("jaro"))
@@ -245,7 +258,7 @@ _ALL = set(_KEYS)
 @query("cascade_deterministic", _with(_tables_of(_EXACT), *_cascade_sql(_EXACT)) + f"SELECT {_ROUNDED} FROM c")
 def cascade_deterministic(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, x = fixture.gazetteer(spark, sf_dir), fixture.inputs(spark, sf_dir)
-    return _rounded(cascade.rank_union(x, g, _EXACT), _OUT)
+    return _rounded(cascade.at_once(x, g, _EXACT), _OUT)
 
 
 def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,21 +297,22 @@ def _hav(a: str, b: str, c: str, d: str) -> str:
 _TIE_ORDER = "contagem_cnefe DESC, desvio_metros, endereco_encontrado, lat, lon"
 _DIST = f"""dd AS (SELECT *, CASE WHEN la IS NOT NULL THEN {_hav("lat", "lon", "la", "lo")} END AS dist FROM (
   SELECT *, lead(lat) OVER w AS la, lead(lon) OVER w AS lo FROM c WINDOW w AS (PARTITION BY tempid ORDER BY {_TIE_ORDER})))"""
-_KEPT = f"""k AS (SELECT *, count(*) OVER (PARTITION BY tempid) > 1 AS empate, max(dist) OVER (PARTITION BY tempid) AS max_dist,
-  bool_or(log_causa_confusao OR coalesce(regexp_matches(logradouro_encontrado, '{_p(SPELLED_HIGH)}')
-    AND NOT regexp_matches(logradouro_encontrado, '{_p(DATED)}'), false)) OVER (PARTITION BY tempid) AS vague
+_KEPT = rf"""k AS (SELECT *, count(*) OVER (PARTITION BY tempid) > 1 AS empate, max(dist) OVER (PARTITION BY tempid) AS max_dist,
+  log_causa_confusao OR coalesce(regexp_matches(endereco_encontrado, 'RUA ({_TENS})'), false) AS vague,
+  coalesce({_MONTH.format("logradouro_encontrado")}, false) AS dated
   FROM dd WHERE dist IS NULL OR dist > 300),
-cl2 AS (SELECT *, CASE WHEN NOT empate THEN 'sem_empate' WHEN coalesce(max_dist, 0) > 1000 OR vague THEN 'perdidos' ELSE 'salvos' END AS classe FROM k)"""
+l2 AS (SELECT *, (coalesce(max_dist, 0) > 1000 OR vague) AND NOT dated AS lost FROM k),
+cl2 AS (SELECT *, CASE WHEN NOT empate THEN 'sem_empate' WHEN bool_or(lost) OVER (PARTITION BY tempid) THEN 'perdidos' ELSE 'salvos' END AS classe FROM l2)"""
 _RESOLVED = f"""r AS (SELECT * REPLACE (CASE WHEN classe = 'salvos' THEN mlat ELSE lat END AS lat, CASE WHEN classe = 'salvos' THEN mlon ELSE lon END AS lon) FROM (
   SELECT *, sum(lat * contagem_cnefe) OVER (PARTITION BY tempid) / sum(contagem_cnefe) OVER (PARTITION BY tempid) AS mlat,
     sum(lon * contagem_cnefe) OVER (PARTITION BY tempid) / sum(contagem_cnefe) OVER (PARTITION BY tempid) AS mlon FROM cl2)
-  QUALIFY row_number() OVER (PARTITION BY tempid ORDER BY {_TIE_ORDER}) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY tempid ORDER BY classe = 'perdidos' AND lost DESC, {_TIE_ORDER}) = 1)"""
 _TIES_WITH = (_tables_of(_TIED_STEPS), *_cascade_sql(_TIED_STEPS))
 
 
 def _tied(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, x = fixture.gazetteer(spark, sf_dir), fixture.inputs(spark, sf_dir)
-    return cascade.rank_union(x, g, _TIED_STEPS)
+    return cascade.at_once(x, g, _TIED_STEPS)
 
 
 @query("ties_count", _with(*_TIES_WITH) + "SELECT count(*) AS n_ties FROM (SELECT tempid FROM c GROUP BY tempid HAVING count(*) > 1)")
@@ -482,7 +496,21 @@ def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _points(spark, sf_dir).select("tempid", F.round(d, 3).alias("metros"))
 
 
-@query("utm_project")
+# Krueger's series again, by way of the conformal latitude
+_UTM = """u AS (SELECT tempid, radians(lat) AS f, radians(lon + 45) AS l, 1 / 298.257222101 AS fl FROM p),
+u1 AS (SELECT *, fl / (2 - fl) AS n, sqrt(fl * (2 - fl)) AS e FROM u),
+u2 AS (SELECT *, tan(2 * atan(tan(pi() / 4 + f / 2) * power((1 - e * sin(f)) / (1 + e * sin(f)), e / 2)) - pi() / 2) AS t FROM u1),
+u3 AS (SELECT *, atan2(t, cos(l)) AS a, asinh(sin(l) / sqrt(t * t + cos(l) * cos(l))) AS b FROM u2),
+u4 AS (SELECT tempid, 0.9996 * 6378137.0 / (1 + n) * (1 + power(n, 2) / 4 + power(n, 4) / 64) AS r, a, b,
+  n / 2 - 2 * power(n, 2) / 3 + 5 * power(n, 3) / 16 AS c1, 13 * power(n, 2) / 48 - 3 * power(n, 3) / 5 AS c2, 61 * power(n, 3) / 240 AS c3 FROM u3)"""
+
+
+@query(
+    "utm_project",
+    _with(set(), _POINTS, _UTM) + "SELECT tempid, "
+    "round(500000 + r * (b + c1 * cos(2 * a) * sinh(2 * b) + c2 * cos(4 * a) * sinh(4 * b) + c3 * cos(6 * a) * sinh(6 * b)), 3) AS leste, "
+    "round(10000000 + r * (a + c1 * sin(2 * a) * cosh(2 * b) + c2 * sin(4 * a) * cosh(4 * b) + c3 * sin(6 * a) * cosh(6 * b)), 3) AS norte FROM u4",
+)
 def utm_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, n = utm(F.col("lat"), F.col("lon"))
     return _points(spark, sf_dir).select("tempid", F.round(e, 3).alias("leste"), F.round(n, 3).alias("norte"))
@@ -556,11 +584,34 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     "geocode_end_to_end",
     _with(_ALL, *_staged_sql(), _DIST, _KEPT, _RESOLVED)
     + "SELECT x.estado, x.municipio, x.logradouro, x.numero, x.cep, x.localidade, round(r.lat, 6) AS lat, round(r.lon, 6) AS lon, "
-    f"{_CASE} AS precisao, tipo_resultado, desvio_metros, endereco_encontrado, "
+    f"{_CASE} AS precisao, tipo_resultado, desvio_metros, endereco_encontrado, {', '.join(f'r.{n}' for n in FOUND.values())}, r.cod_setor, "
     "CASE WHEN r.tempid IS NOT NULL THEN coalesce(round(similaridade_logradouro, 6), 1.0) END AS similaridade_logradouro, contagem_cnefe, empate "
     "FROM x LEFT JOIN r USING (tempid)",
 )
 def geocode_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = flagship(spark, sf_dir)
-    names = [c for c in out.columns if not c.endswith(("_encontrado", "_encontrada")) or c == "endereco_encontrado"]
-    return _rounded(out, [c for c in names if c != "cod_setor"])
+    return _rounded(out, out.columns)
+
+
+@query("gazetteer_files", f"SELECT * REPLACE (round(lat, 6) AS lat, round(lon, 6) AS lon) FROM ({fixture.FINEST}) WHERE estado IN ('ASIA', 'EUROPE')")
+def gazetteer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The finest table, written with the others and read again for some states."""
+    folder = f"{checkpoints.ensure(spark)}/gazetteer-{uuid.uuid4().hex}"
+    fixture.gazetteer(spark, sf_dir).write(folder)
+    t = Gazetteer.read(spark, folder)(NCL).where(F.col("estado").isin("ASIA", "EUROPE"))
+    return _rounded(t, t.columns)
+
+
+_N_BLOCKS = 4
+
+
+@query(
+    "balanced_blocks",
+    _with(set(), f"""s AS (SELECT estado, municipio, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, estado, municipio) AS k FROM x GROUP BY 1, 2),
+g AS (SELECT cast(0 AS bigint) AS k, {[0] * _N_BLOCKS}::bigint[] AS loads, cast(0 AS bigint) AS bloco UNION ALL
+  SELECT s.k, [{", ".join(f"loads[{i}] + CASE WHEN p = {i} THEN s.n ELSE 0 END" for i in range(1, _N_BLOCKS + 1))}], p
+  FROM (SELECT *, cast(list_position(loads, list_min(loads)) AS bigint) AS p FROM g) q JOIN s ON s.k = q.k + 1)""").replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT x.tempid, cast(g.bloco AS int) AS bloco FROM x JOIN s USING (estado, municipio) JOIN g USING (k)",
+)
+def balanced_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced(fixture.inputs(spark, sf_dir), _N_BLOCKS).select("tempid", "bloco")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import http.client
 import re
 import shutil
+import urllib.error
+import urllib.request
 from collections.abc import Callable
 from pathlib import Path
 
@@ -96,3 +99,38 @@ def directory_provider(source: str | Path) -> Callable[[str, Path], None]:
         part.rename(target)
 
     return get
+
+
+def http_provider(base: str, *, tries: int = 3, timeout: float = 60.0) -> Callable[[str, Path], None]:
+    """Fetch ``{base}/{name}.parquet`` over HTTP.
+
+    What an interrupted transfer has left is taken up where it ended, if the server can do so, and a
+    table appears under its name only when it is whole.
+    """
+
+    def get(name: str, target: Path) -> None:
+        part = target.with_suffix(".part")
+        for attempt in range(1, tries + 1):
+            have = part.stat().st_size if part.exists() else 0
+            request = urllib.request.Request(f"{base.rstrip('/')}/{name}.parquet")
+            if have:
+                request.add_header("Range", f"bytes={have}-")
+            try:
+                with urllib.request.urlopen(request, timeout=timeout) as answer:
+                    on = answer.status == 206
+                    due = answer.headers.get("Content-Length")
+                    with part.open("ab" if on else "wb") as f:
+                        shutil.copyfileobj(answer, f, 1 << 20)
+                if due is None or part.stat().st_size == int(due) + (have if on else 0):
+                    part.rename(target)
+                    return
+            except urllib.error.HTTPError as e:
+                if e.code != 416:  # the part is no beginning of the file: start anew
+                    raise OSError(f"{name}: status {e.code}") from e
+                part.unlink(missing_ok=True)
+            except (OSError, http.client.HTTPException):
+                if attempt == tries:
+                    raise
+        raise OSError(f"{name}: the transfer broke off {tries} times")
+
+    return get

@@ -24,7 +24,8 @@ TABLE_KEYS = {
     "municipio": (),
 }
 VALUES = "endereco_completo string, lat double, lon double, desvio_metros int, n_casos int, cod_setor string"
-MAX_BROADCAST_PLACES = 100_000
+#: Bytes of the places of an input that are broadcast, at most.
+MAX_BROADCAST = 16 << 20
 
 
 def schema_of(name: str) -> str:
@@ -60,8 +61,9 @@ class Gazetteer:
         return self.tables[name]
 
     def scoped(self, inputs: DataFrame) -> Gazetteer:
-        places = inputs.select("estado", "municipio").dropna().distinct().persist()
-        few = places.count() <= MAX_BROADCAST_PLACES
+        places = inputs.select("estado", "municipio").dropna().distinct().checkpoint()
+        size = places.agg(F.sum(F.octet_length("estado") + F.octet_length("municipio") + 32)).first()[0] or 0
+        few = size <= MAX_BROADCAST
         return Gazetteer({n: scope(t, F.broadcast(places) if few else places) for n, t in self.tables.items()})
 
     def register(self, spark: SparkSession) -> None:

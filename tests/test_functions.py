@@ -8,7 +8,7 @@ from logradex.fields import AddressFields, check_h3
 from logradex.functions import text
 from logradex.functions.ambiguity import is_ambiguous
 from logradex.functions.geo import haversine, utm
-from logradex.functions.similarity import jaro
+from logradex.functions.similarity import jaro, jaro_pairs, jaro_similarity
 
 _con = duckdb.connect()
 
@@ -20,11 +20,34 @@ def test_jaro_agrees_with_duckdb(a, b):
     assert jaro(a.encode(), b.encode()) == pytest.approx(want, abs=1e-12)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text("ABCDEéã ", max_size=12), st.text("ABCDEéã ", max_size=70)), max_size=40), st.sampled_from([0.0, 0.6, 0.85]))
+def test_batches_of_pairs_agree(pairs, cutoff):
+    a, b = [x.encode() for x, _ in pairs], [y.encode() for _, y in pairs]
+    for x, y, got in zip(a, b, jaro_pairs(a, b, cutoff)):
+        want = jaro(x, y)
+        assert got == pytest.approx(want, abs=1e-12) or got == 0 and want <= cutoff
+
+
+def test_jaro_of_long_texts():
+    rng = __import__("random").Random(3)
+    for n in (300, 3000):
+        a, b = ("".join(rng.choice("abcde f") for _ in range(n)) for _ in range(2))
+        assert jaro(a.encode(), b.encode()) == pytest.approx(_con.execute("SELECT jaro_similarity(?, ?)", [a, b]).fetchone()[0], abs=1e-12)
+    assert jaro(b"ab" * 200_000, b"ba" * 200_000) > 0.9
+
+
+def test_jaro_column(spark):
+    rows = [("MARTHA", "MARHTA"), ("A", None), (None, None), ("", "X"), ("SAME", "SAME"), ("MARTHA", "MARHTA")]
+    got = [r.x for r in spark.createDataFrame(rows, "a string, b string").coalesce(1).select(jaro_similarity(F.col("a"), F.col("b")).alias("x")).collect()]
+    assert got == [pytest.approx(17 / 18), None, None, 0.0, 1.0, pytest.approx(17 / 18)]
+
+
 def test_ambiguous_streets(spark):
     cases = {
         "RUA A": True, "RUA 10": True, "RUA 10-B": True, "ESTRADA B-12 KM 3": True, "RUA DOIS": True,
         "NOVA RUA DEZ": True, "RUA QUATRO": False, "RUA 15 DE NOVEMBRO": False, "AVENIDA BRASIL": False,
-        "RUA ABC": False, None: False,
+        "RUA ABC": False, None: False, "BLOCO 3 2": False, "RUA 10 20": False, "RUA 10A 7": False, "BECO C KM": True, "RUA 5 KM 7 8": False,
     }
     df = spark.createDataFrame([(k,) for k in cases], "s string")
     got = {r.s: r.f for r in df.select("s", is_ambiguous(F.col("s")).alias("f")).collect()}

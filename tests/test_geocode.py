@@ -1,10 +1,14 @@
+import random
+import struct
+
 import pytest
 
 from logradex.api import Geocoder
-from logradex.operators import ties
+from logradex.operators import lookup, ties
+from logradex.operators.blocks import balanced
 from logradex.operators.matching import CANDIDATE
 from logradex.plans import cascade
-from logradex.sources.cache import Cache, directory_provider
+from logradex.sources.cache import Cache, directory_provider, http_provider
 from logradex.sources.gazetteer import Gazetteer, build
 
 FIELDS = {"logradouro": "rua", "numero": "num", "cep": "postal", "localidade": "bairro", "municipio": "cidade", "estado": "uf"}
@@ -71,8 +75,9 @@ def test_both_plans_agree(spark, geocoder):
     x = prepared(with_row_ids(rows_of(spark, INPUTS * 3)), FIELDS).checkpoint()
     assert [r.tempid for r in x.select("tempid").orderBy("tempid").collect()] == list(range(1, 31))
     a = cascade.rank_union(x, geocoder.gazetteer).select("tempid", "tipo_resultado", "endereco_encontrado")
-    b = cascade.staged(x, geocoder.gazetteer).select("tempid", "tipo_resultado", "endereco_encontrado")
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    for plan in (cascade.staged, cascade.at_once):
+        b = plan(x, geocoder.gazetteer).select("tempid", "tipo_resultado", "endereco_encontrado")
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
 def candidates(spark, rows):
@@ -82,7 +87,7 @@ def candidates(spark, rows):
         "localidade_encontrada string, municipio_encontrado string, estado_encontrado string,"
         "similaridade_logradouro double, contagem_cnefe int, cod_setor string"
     )
-    full = [(i, 1, "dn01", lat, 0.0, f"e{k}", 5, flag, street, 1, "c", "l", "m", "e", None, n, "s") for k, (i, lat, n, flag, street) in enumerate(rows)]
+    full = [(i, 1, "dn01", lat, 0.0, f"{street}, {k} - X", 5, flag, street, 1, "c", "l", "m", "e", None, n, "s") for k, (i, lat, n, flag, street) in enumerate(rows)]
     df = spark.createDataFrame(full, schema)
     assert df.columns == CANDIDATE
     return df
@@ -100,15 +105,18 @@ def test_tie_classes(spark):
             (5, 0.0, 1, False, "RUA QUINZE"), (5, 600 * d, 3, False, "RUA QUINZE"),
             (6, 0.0, 1, False, "RUA QUINZE DE MAIO"), (6, 600 * d, 3, False, "RUA QUINZE DE MAIO"),
             (7, 1.0, 1, False, None),
+            (8, 0.0, 1, True, "RUA 7 DE ABRIL"), (8, 5000 * d, 3, True, "RUA 7 DE ABRIL"),  # a date: the mean in any case
+            (9, 0.0, 1, False, "RUA X"), (9, 3000 * d, 5, False, "RUA 7 DE ABRIL"), (9, 8000 * d, 2, False, "RUA X"),  # the lost one of most records
         ],
     )
     got = {r.tempid: (round(r.lat / d), r.empate) for r in ties.resolve(df).collect()}
     assert got == {
         1: (100, False), 2: (450, True), 3: (5000, True), 4: (600, True), 5: (600, True), 6: (450, True), 7: (111319, False),
+        8: (3750, True), 9: (8000, True),
     }
     largest = {r.tempid: round(r.lat / d) for r in ties.resolve(df, keep_largest=True).collect()}
     assert largest[1] == 0
-    assert ties.count_ties(df).first().n_ties == 6
+    assert ties.count_ties(df).first().n_ties == 8
 
 
 def test_reverse_and_cep(spark, geocoder):
@@ -141,6 +149,10 @@ def test_input_checks(spark, geocoder):
         geocoder.geocode(df, FIELDS, complete=1)
     out = geocoder.geocode(df.select("cidade", "uf"), {"municipio": "cidade", "estado": "uf"}, geometry=True).first()
     assert out.tipo_resultado == "dm01" and out.geometry.startswith("POINT (")
+    raw = geocoder.geocode(df.select("cidade", "uf"), {"municipio": "cidade", "estado": "uf"}, geometry="wkb").first()
+    assert struct.unpack("<BIdd", raw.geometry) == (1, 1, raw.lon, raw.lat)
+    with pytest.raises(ValueError, match="reference system"):
+        geocoder.reverse(spark.createDataFrame([(-22.7, -43.4)], "lat double, lon double"), srid=4326)
 
 
 def test_cache(tmp_path):
@@ -164,6 +176,107 @@ def test_cache(tmp_path):
     assert cache.folder() == tmp_path / "default"
 
 
+def test_http_provider(tmp_path):
+    import http.server
+    import threading
+
+    body = bytes(range(256)) * 5000
+    broken = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            if self.path != "/base/municipio.parquet":
+                self.send_error(404)
+                return
+            start = int((self.headers.get("Range") or "bytes=0-").split("=")[1].rstrip("-"))
+            self.send_response(206 if start else 200)
+            self.send_header("Content-Length", str(len(body) - start))
+            self.end_headers()
+            part = body[start:]
+            if not broken:  # the first transfer breaks off
+                broken.append(start)
+                part = part[:700_000]
+            self.wfile.write(part)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        cache = Cache(tmp_path / "conf", tmp_path / "cache")
+        get = http_provider(f"http://127.0.0.1:{server.server_port}/base/")
+        folder = cache.fetch(get, "municipio")
+        assert (folder / "municipio.parquet").read_bytes() == body and broken == [0]
+        with pytest.raises(RuntimeError):
+            cache.fetch(get, "municipio_cep")
+        assert [p.name for p in cache.files()] == ["municipio.parquet"]
+    finally:
+        server.shutdown()
+
+
+def test_files_of_a_gazetteer(spark, geocoder, tmp_path):
+    from logradex.sources.gazetteer import read_table, schema_of, views
+    from logradex.plans.steps import TABLES
+
+    geocoder.gazetteer.write(str(tmp_path))
+    again = Gazetteer.read(spark, str(tmp_path))
+    for name in TABLES:
+        want = geocoder.gazetteer(name)
+        assert sorted(map(str, again(name).collect())) == sorted(map(str, want.collect()))
+        assert spark.createDataFrame([], schema_of(name)).columns == want.columns
+    assert sorted(views(spark, str(tmp_path))) == sorted(TABLES) and spark.table("municipio").count() == 2
+    again.register(spark)
+    (tmp_path / "bad.parquet").write_bytes(b"no parquet")
+    with pytest.raises(RuntimeError, match="delete it and fetch"):
+        read_table(spark, str(tmp_path / "bad.parquet"))
+    with pytest.raises(RuntimeError, match="delete it and fetch"):
+        read_table(spark, str(tmp_path / "none.parquet"))
+
+
+def test_checkpoints_need_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from logradex.sources import checkpoints
+
+    folder = N(isEmpty=lambda: True)
+    spark = N(sparkContext=N(master="spark://host:7077", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: folder))), conf=N(get=lambda *_: None))
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        checkpoints.ensure(spark)
+
+
+def test_balanced_blocks(spark):
+    rows = [(f"E{i % 3}", f"M{i % 17}") for i in range(400)] + [("E0", "M0")] * 90 + [(None, None)] * 5
+    df = spark.createDataFrame(rows, "estado string, municipio string")
+    got = balanced(df, 4).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r] = sizes.get(r, 0) + 1
+    loads, want = [0] * 4, {}
+    for place in sorted(sizes, key=lambda p: (-sizes[p], p[0] is not None, p[0] or "", p[1] or "")):
+        want[place] = loads.index(min(loads)) + 1
+        loads[want[place] - 1] += sizes[place]
+    assert len(got) == len(rows) and {(r.estado, r.municipio): r.bloco for r in got} == want
+    with pytest.raises(ValueError):
+        balanced(df, 0)
+
+
+def test_boxes_and_nearest(spark):
+    rng = random.Random(5)
+    points = [(i, rng.uniform(-30, 0), rng.uniform(-70, -40)) for i in range(200)]
+    boxes = [(f"b{i}", *sorted((rng.uniform(-70, -40), rng.uniform(-70, -40))), *sorted((rng.uniform(-30, 0), rng.uniform(-30, 0)))) for i in range(20)]
+    p = spark.createDataFrame(points, "tempid long, lat double, lon double")
+    b = spark.createDataFrame(boxes, "name string, xmin double, xmax double, ymin double, ymax double")
+    joined = lookup.in_boxes(p, b)
+    assert "NestedLoop" not in joined._jdf.queryExecution().toString()
+    want = {(i, n) for i, y, x in points for n, x0, x1, y0, y1 in boxes if x0 <= x <= x1 and y0 <= y <= y1}
+    got = [(r.tempid, r.name) for r in joined.collect()]
+    assert len(got) == len(want) and set(got) == want
+    near = spark.createDataFrame([(f"a{i}", y + 0.001 * (i % 3), x) for i, y, x in points for _ in (0, 1)], "endereco_completo string, lat double, lon double")
+    found = lookup.nearest(p, near, 500).collect()
+    assert len(found) == 200 and all(r.a_endereco_completo == f"a{r.tempid}" for r in found)
+
+
 def test_stream(spark, geocoder, tmp_path):
     from logradex.streaming.addresses import geocode_stream
 
