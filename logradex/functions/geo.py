@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,8 +62,6 @@ def point_wkt(lat: Column, lon: Column) -> Column:
 def point_wkb(lat: Column, lon: Column) -> Column:
     """The point as well-known binary (little-endian); null if a coordinate is.  Spark has no function for the bytes of
     a double, so this is an Arrow UDF over whole batches."""
-    import numpy as np
-    import pyarrow as pa
 
     def batch(y: pa.Array, x: pa.Array) -> pa.Array:
         out = np.zeros((len(y), 21), np.uint8)
@@ -82,8 +82,6 @@ def h3_cell(lat: Column, lon: Column, res: int) -> Column:
     except ImportError as e:
         raise RuntimeError("cells of the hexagonal grid need the h3 package, which is not installed") from e
 
-    import pyarrow as pa
-
     def batch(a: pa.Array, b: pa.Array) -> pa.Array:
         pairs = zip(a.to_pylist(), b.to_pylist())
         return pa.array([None if x is None or y is None else h3.latlng_to_cell(x, y, res) for x, y in pairs], pa.string())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet file of the cache; a damaged one says how to get it anew."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException as e:
+    except (AnalysisException, Py4JJavaError) as e:  # the latter for a footer that can't be read
         raise RuntimeError(f"{path} can't be read; delete it and fetch the release again") from e
 
 

@@ -224,7 +224,7 @@ def test_files_of_a_gazetteer(spark, geocoder, tmp_path):
     for name in TABLES:
         want = geocoder.gazetteer(name)
         assert sorted(map(str, again(name).collect())) == sorted(map(str, want.collect()))
-        assert spark.createDataFrame([], schema_of(name)).columns == want.columns
+        assert sorted(spark.createDataFrame([], schema_of(name)).dtypes) == sorted(want.dtypes)
     assert sorted(views(spark, str(tmp_path))) == sorted(TABLES) and spark.table("municipio").count() == 2
     again.register(spark)
     (tmp_path / "bad.parquet").write_bytes(b"no parquet")
