@@ -389,7 +389,8 @@ class Scorer:
         form += float(self.form[_REPEATED]) * 10 / n * sum(map(eq, words, words[1:]))
         form += float(self.form[_REPEATED_LINE]) * 10 * _line_repeats(text)
         slots = set(chain.from_iterable(map(self.slots_of.__getitem__, set(words))))
-        civil = float(self.civil[np.fromiter(slots, np.int64, len(slots))].sum()) + self.civil_bias
+        # sorted: a set's order differs between workers, and with it the last digits of the sum
+        civil = float(self.civil[np.sort(np.fromiter(slots, np.int64, len(slots)))].sum()) + self.civil_bias
         return tuple(float(1 / (1 + np.exp(-np.clip(z, -60, 60)))) for z in (form, civil))
 
 
