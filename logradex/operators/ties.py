@@ -19,9 +19,14 @@ def _order(keep_largest: bool) -> list[Column]:
     return [F.desc("contagem_cnefe"), F.col("desvio_metros"), *tail]
 
 
+def tied(candidates: DataFrame) -> DataFrame:
+    """(tempid) the rows with more than one candidate."""
+    return candidates.groupBy("tempid").count().where("count > 1").select("tempid")
+
+
 def count_ties(candidates: DataFrame) -> DataFrame:
     """(n_ties) how many rows have more than one candidate."""
-    return candidates.groupBy("tempid").count().where("count > 1").agg(F.count("*").alias("n_ties"))
+    return tied(candidates).agg(F.count("*").alias("n_ties"))
 
 
 def flag(candidates: DataFrame) -> DataFrame:
