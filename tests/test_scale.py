@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from logradex.operators import ties
+from logradex.operators.matching import match, unmatched
 from logradex.operators.repeats import for_all, once_each
 from logradex.plans import cascade, fixture
-from logradex.plans.steps import STEP
+from logradex.plans.steps import NCL, STEP
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
@@ -49,3 +50,11 @@ def test_ties_of_repeated_addresses_are_counted_for_each_row(spark):
     once, rows = once_each(twice)
     got = for_all(ties.tied(cascade.at_once(once, g, steps)), rows).count()
     assert got == 2 * ties.tied(cascade.at_once(x, g, steps)).count() > 0
+
+
+@needs_tables
+def test_unmatched_is_one_join_by_keys(spark):
+    g, x = fixture.gazetteer(spark, SF), fixture.inputs(spark, SF).checkpoint()
+    rest = unmatched(x, g(NCL), STEP["dn01"])
+    assert plan(rest).count("ShuffledHashJoin") == 1 and "SortMergeJoin" not in plan(rest)
+    assert rest.count() == x.count() - match(x, g(NCL), STEP["dn01"]).select("tempid").distinct().count()
