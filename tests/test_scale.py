@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logradex.operators import ties
 from logradex.operators.matching import match, unmatched
 from logradex.operators.repeats import for_all, once_each
-from logradex.plans import cascade, fixture
+from logradex.plans import cascade, fixture, queries
 from logradex.plans.steps import NCL, STEP
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +58,12 @@ def test_unmatched_is_one_join_by_keys(spark):
     rest = unmatched(x, g(NCL), STEP["dn01"])
     assert plan(rest).count("ShuffledHashJoin") == 1 and "SortMergeJoin" not in plan(rest)
     assert rest.count() == x.count() - match(x, g(NCL), STEP["dn01"]).select("tempid").distinct().count()
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["interp_da02", "match_pn03"])
+def test_steps_look_up_an_address_once(spark, name, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries, "once_each", lambda x: seen.append(x.columns) or once_each(x))
+    queries.QUERIES[name](spark, SF)
+    assert seen == [["tempid", *STEP[name[-4:]].keys, "log_causa_confusao"]]
