@@ -11,6 +11,8 @@ from ..functions.geo import BRAZIL, EARTH_RADIUS, grid, haversine, utm
 from ..functions.text import cep as standard_cep
 
 IN_LIST = 1000
+#: Metres by which a distance may differ when it is computed again; more than enough, as what is kept too many is compared exactly.
+SAME = 1e-3
 CEP_COLUMNS = "cep estado municipio logradouro localidade lon lat".split()
 
 
@@ -100,9 +102,13 @@ def _distance(planar: bool) -> Column:
 def nearest(points: DataFrame, addresses: DataFrame, metres: float, *, planar: bool = False) -> DataFrame:
     """The nearest address of each point within ``metres``; points without one are left out.
 
-    A point's pairs are reduced before they move, however many addresses are near it.
+    The distances come first: one number for each point, which is reduced by hashing before it moves, so that no task sorts
+    or holds the pairs, however many addresses are near a point.  Then only the pairs at that distance are told apart.
     """
-    pairs = within(points, addresses, metres, planar=planar)
+    first = within(points.select("tempid", "lat", "lon"), addresses.select("lat", "lon"), metres, planar=planar)
+    least = first.groupBy("tempid").agg(F.min("distancia").alias("_least"))
+    pairs = within(points.join(least, "tempid"), addresses, metres, planar=planar)
+    pairs = pairs.where(F.col("distancia") <= F.col("_least") + SAME).drop("_least")
     rest = [c for c in pairs.columns if c != "tempid"]
     order = F.struct("distancia", F.col("a_endereco_completo").isNull(), "a_endereco_completo", "a_lat", "a_lon")
     best = pairs.groupBy("tempid").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), order).alias("_best"))

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from logradex.operators import ties
+from logradex.operators import lookup, ties
 from logradex.operators.matching import match, unmatched
 from logradex.operators.repeats import for_all, once_each
 from logradex.plans import cascade, fixture, queries
@@ -67,3 +67,21 @@ def test_steps_look_up_an_address_once(spark, name, monkeypatch):
     monkeypatch.setattr(queries, "once_each", lambda x: seen.append(x.columns) or once_each(x))
     queries.QUERIES[name](spark, SF)
     assert seen == [["tempid", *STEP[name[-4:]].keys, "log_causa_confusao"]]
+
+
+def test_nearest_reduces_distances_by_hashing(spark):
+    p = spark.createDataFrame([(1, -10.0, -50.0), (2, -20.0, -50.0), (3, -25.0, -50.0)], "tempid long, lat double, lon double")
+    near = [("b", -10.001, -50.0), ("a", -10.001, -50.0), (None, -10.001, -50.0), ("c", -10.002, -50.0), ("d", -20.003, -50.0)]
+    found = lookup.nearest(p, spark.createDataFrame(near, "endereco_completo string, lat double, lon double"), 500)
+    text = plan(found)
+    assert text.count("functions=[min(distancia") == 1 and text.count("functions=[partial_min(distancia") == 1, text
+    assert sorted((r.tempid, r.a_endereco_completo) for r in found.collect()) == [(1, "a"), (2, "d")]
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["nearest_within", "within_distance"])
+def test_places_are_looked_up_once(spark, name, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries, "once_each", lambda x: seen.append(x.columns) or once_each(x))
+    queries.QUERIES[name](spark, SF)
+    assert seen == [["tempid", "lat", "lon"]]
