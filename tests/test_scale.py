@@ -5,9 +5,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from logradex.operators import lookup, ties
+from logradex.operators import lookup, results, ties
 from logradex.operators.matching import match, unmatched
-from logradex.operators.repeats import for_all, once_each
+from logradex.operators.repeats import firsts, for_all, marked, once_each
 from logradex.plans import cascade, fixture, queries
 from logradex.plans.steps import NCL, STEP
 
@@ -69,6 +69,24 @@ def test_steps_look_up_an_address_once(spark, name, monkeypatch):
     assert seen == [["tempid", *STEP[name[-4:]].keys, "log_causa_confusao"]]
 
 
+def test_results_join_the_rows_once(spark):
+    x = [(i, "A", "B", "RUA X" if i % 2 else None, None, "c", None, False) for i in range(1, 7)]
+    rows = marked(spark.createDataFrame(x, INPUT))
+    found = firsts(rows).where("tempid = 1").selectExpr(
+        "tempid", "1.0D lat", "2.0D lon", "'dn01' tipo_resultado", "3 desvio_metros", "'X' endereco_encontrado"
+    )
+    out = results.merge(rows.drop("log_causa_confusao"), found, complete=False, ties=False, on="_same")
+    assert plan(out).count("Join ") == 1 and "_same" not in out.columns and "tempid" not in out.columns
+    assert [(r.logradouro, r.lat, r.precisao) for r in out.collect()] == [("RUA X", 1.0, "numero"), (None, None, None)] * 3
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["merge_to_input", "geocode_end_to_end"])
+def test_merged_results_are_not_spread_before(spark, name, monkeypatch):
+    monkeypatch.setattr(queries, "for_all", lambda *_: pytest.fail("results were spread over all rows"))
+    queries.QUERIES[name](spark, SF)
+
+
 def test_nearest_reduces_distances_by_hashing(spark):
     p = spark.createDataFrame([(1, -10.0, -50.0), (2, -20.0, -50.0), (3, -25.0, -50.0)], "tempid long, lat double, lon double")
     near = [("b", -10.001, -50.0), ("a", -10.001, -50.0), (None, -10.001, -50.0), ("c", -10.002, -50.0), ("d", -20.003, -50.0)]
