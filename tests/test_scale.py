@@ -103,3 +103,9 @@ def test_places_are_looked_up_once(spark, name, monkeypatch):
     monkeypatch.setattr(queries, "once_each", lambda x: seen.append(x.columns) or once_each(x))
     queries.QUERIES[name](spark, SF)
     assert seen == [["tempid", "lat", "lon"]]
+
+
+@needs_tables
+def test_plain_steps_sort_nothing(spark):
+    text = plan(queries.QUERIES["match_dl03"](spark, SF))
+    assert text.count("ShuffledHashJoin") == 3 and "Sort " not in text and "SortMergeJoin" not in text, text
