@@ -109,3 +109,12 @@ def test_places_are_looked_up_once(spark, name, monkeypatch):
 def test_plain_steps_sort_nothing(spark):
     text = plan(queries.QUERIES["match_dl03"](spark, SF))
     assert text.count("ShuffledHashJoin") == 3 and "Sort " not in text and "SortMergeJoin" not in text, text
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["precision_label", "precision_shares", "interp_pa03", "match_pl02"])
+def test_named_queries_look_up_an_address_once(spark, name, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries, "once_each", lambda x: seen.append(x.columns) or once_each(x))
+    queries.QUERIES[name](spark, SF)
+    assert len(seen) == 1 and seen[0][0] == "tempid"
