@@ -1,6 +1,7 @@
 """That work and memory follow the distinct addresses and the tables, not pairs or repeated rows."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +119,15 @@ def test_named_queries_look_up_an_address_once(spark, name, monkeypatch):
     monkeypatch.setattr(queries, "once_each", lambda x: seen.append(x.columns) or once_each(x))
     queries.QUERIES[name](spark, SF)
     assert len(seen) == 1 and seen[0][0] == "tempid"
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["precision_shares"])
+def test_named_queries_broadcast_no_table_that_grows(spark, name, monkeypatch):
+    seen, frame = [], type(spark.range(1))
+    checkpoint = frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda df, *a, **k: seen.append(plan(df)) or checkpoint(df, *a, **k))
+    monkeypatch.setattr(fixture, "_BUILT", {})
+    seen.append(plan(queries.QUERIES[name](spark, SF)))
+    joins = re.findall(r"\w*Join .*(?:p_partkey|c_custkey).*", "\n".join(seen))
+    assert len(joins) >= 3 and all(j.startswith("ShuffledHashJoin") for j in joins), joins
