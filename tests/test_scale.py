@@ -122,7 +122,7 @@ def test_named_queries_look_up_an_address_once(spark, name, monkeypatch):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["precision_shares", "precision_label", "match_dl03", "interp_pa03"])
+@pytest.mark.parametrize("name", ["precision_shares", "precision_label", "match_dl03", "interp_pa03", "match_pl02"])
 def test_named_queries_broadcast_no_table_that_grows(spark, name, monkeypatch):
     seen, frame = [], type(spark.range(1))
     checkpoint = frame.checkpoint
